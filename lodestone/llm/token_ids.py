@@ -14,8 +14,10 @@ import numpy as np
 
 #: A segment: leading white space, then characters up to the next space or line feed. Rarer white space stays inside.
 SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-#: Segments kept by a Python worker, about 100 MB; all go when there are more.
-MOST_KEPT = 400_000
+#: The same where white space is dropped: words and closing marks come apart too, and spaces and line feeds are no part of a segment.
+BARE_SEGMENT = re.compile(r"[^\W\d_]+(?=[.,;:!? \n])|[.,;:!?]+(?=[ \n])|(?:[^\S \n]\s*\S*|\S+)(?:[^\S \n]\s*\S*)*")
+#: Segments kept by a Python worker, about 120 MB. When there are more, those that came only once go.
+MOST_KEPT = 600_000
 
 _encoders: dict[tuple, SegmentEncoder] = {}
 
@@ -51,8 +53,13 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.by_segment = cuts_at_space(spec)
+        drops = (spec.get("pre_tokenizer") or {}).get("type") == "Sequence"
+        self.segment = BARE_SEGMENT if drops else SEGMENT
+        # the tokenizer would do it itself, but fewer segments differ this way
+        self.lower = any(x["type"] == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.kept: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -60,15 +67,21 @@ class SegmentEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_segment:
             return self._library(texts)
-        cut = [SEGMENT.findall(t) for t in texts]
-        kept = self.kept
-        new = list(set().union(*cut).difference(kept))
+        if self.lower:
+            texts = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
+        cut = [self.segment.findall(t) for t in texts]
+        every: set[str] = set().union(*cut)
+        new = every.difference(self.kept)
+        if len(self.kept) + len(new) > MOST_KEPT:
+            self.kept = {s: self.kept[s] for s in self.again} if len(self.again) + len(every) <= MOST_KEPT else {}
+            self.again = set()
+            new = every.difference(self.kept)
+        if len(every) > len(new):
+            self.again |= every - new
         if new:
-            if len(kept) + len(new) > MOST_KEPT:
-                kept.clear()
-                new = list(set().union(*cut))
-            kept.update(zip(new, self._library(new), strict=True))
-        return [b"".join(map(kept.__getitem__, x)) for x in cut]
+            names = list(new)
+            self.kept.update(zip(names, self._library(names), strict=True))
+        return [b"".join(map(self.kept.__getitem__, x)) for x in cut]
 
 
 def encoder(path: str) -> SegmentEncoder:
