@@ -52,11 +52,11 @@ def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
     sides carry agrees (payload digest, then ETag by weak comparison, then Last-Modified), ``mismatch`` if it doesn't,
     ``unchecked`` if they share none, ``missing`` if the URL has no earlier response or is null. ``response_id`` and merged
     ``headers`` are null unless resolved or unchecked (headers are then the merged ones). Earlier is a smaller ``ts``;
-    of responses at one ``ts`` the largest ``record_id`` counts. A null ``ts`` is earlier than all others and resolves nothing.
+    of responses at one ``ts`` the largest ``record_id`` counts. A response without ``ts`` never counts, a revisit without it is missing.
     Repeated revisit rows are each resolved. Other columns are not read; an empty table gives an empty one.
     """
     rows = records.select(
-        "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), (F.col("kind") == "response").alias("full"), (F.col("kind") == "revisit").alias("again"),
+        "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), ((F.col("kind") == "response") & F.col("ts").isNotNull()).alias("full"), (F.col("kind") == "revisit").alias("again"),
         F.col("etag").alias("etag"), F.col("last_modified").alias("last_modified"), F.col("digest").alias("digest"), F.col("headers").cast("map<string,string>").alias("headers"),
     ).where("full or again")
     span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
