@@ -2,9 +2,9 @@
 
 Two zstandard dictionaries are trained on a bounded sample of labelled texts: one on ordinary text, one on those windows of
 toxic texts whose words stand out there. A window is a word between its spaces; it is compressed with the ordinary
-dictionary alone and with the toxic one added to it. Both dictionaries end in the same carrier string, which goes before
-each window, so that even a short window is compressed; the lengths then differ only by what the toxic dictionary
-knows of the window. The difference in bytes is the window's evidence. A logistic curve over a text's evidence, fitted to
+dictionary alone and with the toxic one added to it. Both dictionaries end in the same tail and carrier string, which go behind
+and before each window, so that even a short window is compressed and searched to its end (zstandard looks for no match
+in the last eight bytes); the lengths then differ only by what the toxic dictionary knows of the window. The difference in bytes is the window's evidence. A logistic curve over a text's evidence, fitted to
 labelled texts that no dictionary has seen, calibrates the score.
 
 A window's evidence does not depend on its neighbours, so each worker compresses a word once.
@@ -28,7 +28,7 @@ from lodestone.llm.runtime import by_bytes, crc_of_id, ship
 #: Labelled texts of each kind that are learned from, at most, the characters of each kind and of a text: the sample's bounds.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS, LONGEST_LEARNED = 1500, 4500, 8_000_000, 40_000
 #: Dictionary sizes in bytes; zstandard level and shortest match (an optimal parse keeps lengths comparable).
-ORDINARY_BYTES, TOXIC_BYTES, LEVEL, SHORTEST = 32_768, 2_048, 19, 3
+ORDINARY_BYTES, TOXIC_BYTES, LEVEL, SHORTEST = 32_768, 4_096, 19, 3
 #: Log-likelihood ratio above which a word's contexts are more frequent in toxic texts than chance allows (p below 1e-6).
 STANDS_OUT = 24.0
 #: Characters of a window; longer words are cut into windows that overlap by a quarter.
@@ -51,8 +51,9 @@ def windows_of(text: str) -> list[str]:
 class ToxicModel:
     ordinary: bytes
     toxic: bytes
-    carrier: bytes
-    weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, 0.0])
+    carrier: bytes = bytes(range(200, 240))
+    tail: bytes = bytes(range(240, 256))
+    weights: list[float] = field(default_factory=lambda: [0.0] * 10)
     base: float = 0.0
 
     def compressors(self):
@@ -60,7 +61,7 @@ class ToxicModel:
 
         p = zs.ZstdCompressionParameters.from_level(LEVEL, min_match=SHORTEST, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, write_checksum=0)
         made = lambda content: zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT), compression_params=p)
-        return made(self.ordinary + self.carrier), made(self.ordinary + self.toxic + self.carrier)
+        return made(self.ordinary + self.tail + self.carrier), made(self.ordinary + self.toxic + self.tail + self.carrier)
 
 
 class WindowScorer:
@@ -71,11 +72,11 @@ class WindowScorer:
         self.plain, self.with_toxic = model.compressors()
 
     def evidence(self, window: str) -> int:
-        data = self.model.carrier + b" " + window.encode("utf-8", "surrogatepass") + b" "
+        data = self.model.carrier + b" " + window.encode("utf-8", "surrogatepass") + b" " + self.model.tail
         return len(self.plain.compress(data)) - len(self.with_toxic.compress(data))
 
     def features(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """Of each text: windows with evidence of 3 bytes or more, those with 4 or more, the largest evidence."""
+        """Of each text: windows with evidence of 5 bytes or more, those with 7 or more, the largest evidence."""
         cut = [windows_of(t) for t in texts]
         every: set[str] = set().union(*cut) if cut else set()
         if len(self.kept) + len(every) > MOST_KEPT:
@@ -86,7 +87,7 @@ class WindowScorer:
         out = []
         for c in cut:
             e = np.fromiter(map(kept.__getitem__, c), np.int16, len(c))
-            out.append((int((e >= 3).sum()), int((e >= 4).sum()), int(e.max()) if len(e) else 0))
+            out.append((int((e >= 5).sum()), int((e >= 7).sum()), int(e.max()) if len(e) else 0))
         return out
 
     def scores(self, texts: list[str]) -> list[float]:
@@ -97,7 +98,7 @@ class WindowScorer:
 
 def design(features: list[tuple[int, int, int]]) -> np.ndarray:
     f = np.array(features, float).reshape(-1, 3)
-    return np.stack([np.minimum(f[:, 0], 3), np.minimum(f[:, 1], 3), np.clip(f[:, 2], 0, 8), (f[:, 1] >= 2).astype(float)], axis=1)
+    return np.stack([*((f[:, 2] >= k).astype(float) for k in range(3, 11)), np.minimum(f[:, 0], 4) / 2, np.minimum(f[:, 1], 3)], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[list[float], float]:
@@ -113,42 +114,61 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
     return w.tolist(), float(base)
 
 
+#: Beginnings of words that are counted beside whole words: an inflected word may come once only, its stem often.
+STEMS = (4, 5)
+
+
+def units_of(word: str) -> list[str]:
+    """The word itself, and its beginnings, marked by a hyphen."""
+    return [word, *(f"{word[:n]}-" for n in STEMS if len(word) > n)]
+
+
 def standing_out(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """Words with more distinct left neighbours in toxic texts than chance allows; copies of a text add no neighbours."""
+    """Words and beginnings with more distinct left neighbours in toxic texts than chance allows; copies of a text add no neighbours."""
     ids: dict[str, int] = {"": 0}
+    units: dict[str, list[int]] = {}
     sides = []
     for texts in (toxic, ordinary):
         pairs = [np.zeros(0, np.int64)]
         for t in texts:
-            k = np.fromiter((ids.setdefault(w, len(ids)) for w in ["", *windows_of(t)]), np.int64)
-            pairs.append(np.unique((k[1:] << 32) | k[:-1]))
-        found = np.bincount(np.unique(np.concatenate(pairs)) >> 32)
-        sides.append(Counter({w: int(found[k]) for w, k in ids.items() if k < len(found) and found[k]}))
-    t, o = sides
-    nt, no = max(1, sum(t.values())), max(1, sum(o.values()))
+            before, keys = 0, []
+            for w in windows_of(t):
+                if (own := units.get(w)) is None:
+                    own = units[w] = [ids.setdefault(u, len(ids)) for u in units_of(w)]
+                keys += [k << 32 | before for k in own]
+                before = own[0]
+            pairs.append(np.unique(np.array(keys, np.int64)))
+        found = np.bincount(np.unique(np.concatenate(pairs)) >> 32, minlength=1)
+        sides.append(found)
+    t, o = (np.pad(s, (0, max(0, len(ids) - len(s)))) for s in sides)
+    words = float(max(1, sum(t[k[0]] for k in units.values()))), float(max(1, sum(o[k[0]] for k in units.values())))
+    nt, no = words
 
     def ratio(a: int, c: int) -> float:
         expected_a, expected_c = nt * (a + c) / (nt + no), no * (a + c) / (nt + no)
         return 2 * (a * math.log(a / expected_a) + (c * math.log(c / expected_c) if c else 0)) if a > expected_a else 0.0
 
-    return {w for w, a in t.items() if len(w) >= 4 and a * no > 20 * nt * o[w] and ratio(a, o[w]) > STANDS_OUT}
+    return {u for u, k in ids.items() if len(u) >= 4 and t[k] * no > 20 * nt * o[k] and ratio(int(t[k]), int(o[k])) > STANDS_OUT}
 
 
 def _dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
-    """A trained dictionary; where there is too little to train on, the samples themselves."""
+    """A dictionary trained on the samples; where all distinct samples fit into it, they are its content, the commonest last."""
     import zstandard as zs
 
-    try:
-        return zs.train_dictionary(size, samples, k=segment, d=6).as_bytes()
-    except zs.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+    once = Counter(samples)
+    if sum(map(len, once)) > size:
+        try:
+            return zs.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        except zs.ZstdError:  # too little to train on
+            pass
+    return b" ".join(s.strip() for s, _ in reversed(once.most_common()))[-size:]
 
 
 def train_toxicity(toxic: list[str], ordinary: list[str]) -> ToxicModel:
     """Dictionaries from two thirds of the texts, the curve from the rest."""
     learn_t, learn_o = [t for i, t in enumerate(toxic) if i % 3], [t for i, t in enumerate(ordinary) if i % 3]
     told = standing_out(learn_t, learn_o)
-    marked = [f" {w} ".encode("utf-8", "surrogatepass") for t in learn_t for w in windows_of(t) if w in told]
+    marked = [f" {w} ".encode("utf-8", "surrogatepass") for t in learn_t for w in windows_of(t) if not told.isdisjoint(units_of(w))]
     plain, size = [], 0
     for t in learn_o:
         if size > 4_000_000:
@@ -156,8 +176,7 @@ def train_toxicity(toxic: list[str], ordinary: list[str]) -> ToxicModel:
         words = windows_of(t)
         plain.extend((" " + " ".join(words[i : i + 12]) + " ").encode("utf-8", "surrogatepass") for i in range(0, len(words), 12))
         size += len(t)
-    carrier = bytes(range(200, 240))
-    model = ToxicModel(_dictionary(ORDINARY_BYTES, plain, 64) if plain else b"", _dictionary(TOXIC_BYTES, marked, 8) if marked else b"", carrier)
+    model = ToxicModel(_dictionary(ORDINARY_BYTES, plain, 64) if plain else b"", b" " + _dictionary(TOXIC_BYTES, marked, 32) + b" " if marked else b"")
     rest = [(t, 1) for i, t in enumerate(toxic) if not i % 3] + [(t, 0) for i, t in enumerate(ordinary) if not i % 3]
     y = np.array([k for _, k in rest], float)
     x = design(WindowScorer(model).features([t for t, _ in rest]))
