@@ -49,14 +49,22 @@ def cosine(a: Column, b: Column) -> Column:
     return T.clamp((dot + 1) / 2)
 
 
-def sparse_embedding(df: DataFrame, key: str, text: Column, buckets: int = BUCKETS) -> DataFrame:
-    """``key, bucket, weight``: each token adds 1 / sqrt(its length) to its hash's bucket; vectors have length 1."""
-    token = df.select(F.col(key), F.explode(T.tokens(text)).alias("token"))
-    sums = token.groupBy(key, (T.stable_hash(F.col("token")) % buckets).alias("bucket")).agg(F.sum(1 / F.sqrt(F.length("token"))).alias("sum"))
+def term_counts(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """``key, term, times``: the tokens of a text; one shuffle that both kinds of vectors share."""
+    return df.select(F.col(key), F.explode(T.tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("times"))
+
+
+def _bucket_weights(counts: DataFrame, key: str, buckets: int) -> DataFrame:
+    sums = counts.groupBy(key, (T.stable_hash(F.col("term")) % buckets).alias("bucket")).agg(F.sum(F.col("times") / F.sqrt(F.length("term"))).alias("sum"))
     norm = F.sqrt(F.sum(F.col("sum") * F.col("sum")).over(Window.partitionBy(key)))
     return sums.select(key, "bucket", (F.col("sum") / norm).alias("weight"))
 
 
+def sparse_embedding(df: DataFrame, key: str, text: Column, buckets: int = BUCKETS) -> DataFrame:
+    """``key, bucket, weight``: each token adds 1 / sqrt(its length) to its hash's bucket; vectors have length 1."""
+    return _bucket_weights(term_counts(df, key, text), key, buckets)
+
+
 def fusion_score(*ranks: Column) -> Column:
     """Reciprocal rank fusion, scaled and bounded."""
     return T.clamp(sum((F.lit(1.0) / (RANK_OFFSET + r) for r in ranks), F.lit(0.0)) * RANK_SCALE)
@@ -69,33 +77,34 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, boost: Column
     is ranked, though only pairs that share a token or a bucket are made: a chunk that shares nothing scores 0 and a half, ranks
     behind those that do and among its like by idx, so its ranks follow from counts, and only the first k of them can matter.
     """
-    q = queries.select("query_id", T.tokens(F.col("text")).alias("terms"))
-    c = chunks.select("chunk_id", "idx", T.tokens(F.col("text")).alias("terms"))
-    query_terms = q.select("query_id", F.size("terms").alias("n_terms"), F.explode(F.array_distinct("terms")).alias("term"))
-    chunk_terms = c.select("idx", F.size(F.array_distinct("terms")).alias("m_terms"), F.explode(F.array_distinct("terms")).alias("term"))
-    shared = query_terms.join(chunk_terms, "term").groupBy("query_id", "idx").agg(F.count("*").alias("shared"), F.first("n_terms").alias("n"), F.first("m_terms").alias("m"))
+    q, c = term_counts(queries, "query_id", F.col("text")), term_counts(chunks, "idx", F.col("text"))
+    n_terms = q.select("query_id", "term", F.sum("times").over(Window.partitionBy("query_id")).alias("n"))
+    m_terms = c.select("idx", "term", F.count("*").over(Window.partitionBy("idx")).alias("m"))
+    shared = n_terms.join(m_terms, "term").groupBy("query_id", "idx").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
     lexical = shared.select("query_id", "idx", (F.col("shared") / F.sqrt(F.col("n").cast("double") * F.col("m"))).alias("lexical"))
-    qv = sparse_embedding(queries, "query_id", F.col("text"), buckets).withColumnRenamed("weight", "qw")
-    cv = sparse_embedding(chunks, "idx", F.col("text"), buckets).withColumnRenamed("weight", "cw")
+    qv, cv = _bucket_weights(q, "query_id", buckets).withColumnRenamed("weight", "qw"), _bucket_weights(c, "idx", buckets).withColumnRenamed("weight", "cw")
     dots = qv.join(cv, "bucket").groupBy("query_id", "idx").agg(F.sum(F.col("qw") * F.col("cw")).alias("dot"))
+    # a shared token is a shared bucket; a query that meets nothing keeps one row without idx
+    met = queries.select("query_id").join(dots.join(lexical, ["query_id", "idx"], "left"), "query_id", "left")
+    met = met.select("query_id", "idx", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), T.clamp((F.coalesce("dot", F.lit(0.0)) + 1) / 2).alias("semantic"))
     # ties are told apart at nine places: the order of summation does not matter
-    met = dots.join(lexical, ["query_id", "idx"], "left").select("query_id", "idx", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), T.clamp((F.col("dot") + 1) / 2).alias("semantic"))
     by_idx = Window.partitionBy("query_id").orderBy("idx")
-    upto = by_idx.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("query_id")
-    positive = (F.col("lexical") > 0).cast("int")
+    upto, whole = by_idx.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("query_id")
+    positive = (F.col("lexical") > 0).cast("long")
     met = met.withColumns({
-        "positive": F.sum(positive).over(whole), "positive_before": F.coalesce(F.sum(positive).over(upto), F.lit(0)), "free_before": F.col("idx") - (F.row_number().over(by_idx) - 1), "met": F.count("*").over(whole),
+        "place": F.row_number().over(by_idx), "positive_before": F.coalesce(F.sum(positive).over(upto), F.lit(0)),
         "lexical_place": F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("lexical", 9)), "idx")), "semantic_rank": F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("semantic", 9)), "idx")),
     })
-    met = met.withColumn("lexical_rank", F.when(F.col("lexical") > 0, F.col("lexical_place")).otherwise(F.col("positive") + F.col("idx") + 1 - F.col("positive_before")))
-    # the j-th chunk that shares nothing comes after all that stand among the first j
-    counts = met.groupBy("query_id").agg(F.max("positive").alias("positive"), F.max("met").alias("met"), *[F.sum((F.col("free_before") <= j).cast("int")).alias(f"c{j}") for j in range(k)], *[F.sum(((F.col("free_before") <= j) & (F.col("lexical") > 0)).cast("int")).alias(f"p{j}") for j in range(k)])
-    every = queries.select("query_id").join(counts, "query_id", "left").na.fill(0)
-    free = F.array(*[F.struct((F.lit(j) + F.col(f"c{j}")).cast("long").alias("idx"), (F.col("positive") + j + F.col(f"c{j}") + 1 - F.col(f"p{j}")).cast("long").alias("lexical_rank"), (F.col("met") + j + 1).cast("long").alias("semantic_rank")) for j in range(k)])
-    alone = every.select("query_id", F.inline(free)).withColumns({"lexical": F.lit(0.0), "semantic": F.lit(0.5)})
-    columns = ["query_id", "idx", "lexical", "semantic", "lexical_rank", "semantic_rank"]
-    both = met.select(*columns).unionByName(alone.select(*columns)).withColumn("fusion", fusion_score(F.col("lexical_rank"), F.col("semantic_rank")))
+    # the j-th chunk that shares nothing stands behind all met chunks with j or fewer such chunks before them
+    free_before = F.col("idx") - (F.col("place") - 1)
+    counts = {f"{n}{j}": F.coalesce(F.sum(((free_before <= j) & test).cast("long")).over(whole), F.lit(0)) for j in range(k) for n, test in (("c", F.lit(True)), ("p", F.col("lexical") > 0))}
+    met = met.withColumns({"positive": F.sum(positive).over(whole), "met": F.count("idx").over(whole), **counts})
+    lexical_rank = F.when(F.col("lexical") > 0, F.col("lexical_place")).otherwise(F.col("positive") + F.col("idx") + 1 - F.col("positive_before"))
+    row = lambda idx, lex, sem, lr, sr: F.struct(idx.cast("long").alias("idx"), lex.alias("lexical"), sem.alias("semantic"), lr.cast("long").alias("lexical_rank"), sr.cast("long").alias("semantic_rank"))
+    own = row(F.col("idx"), F.col("lexical"), F.col("semantic"), lexical_rank, F.col("semantic_rank"))
+    free = [row(F.lit(j) + F.col(f"c{j}"), F.lit(0.0), F.lit(0.5), F.col("positive") + j + F.col(f"c{j}") + 1 - F.col(f"p{j}"), F.col("met") + j + 1) for j in range(k)]
+    both = met.select("query_id", F.inline(F.when(F.col("place") == 1, F.array(own, *free)).otherwise(F.array(own)))).where("idx is not null")
+    both = both.withColumn("fusion", fusion_score(F.col("lexical_rank"), F.col("semantic_rank")))
     if boost is not None:  # a boost may lift any chunk that was met; those that share nothing keep their order only without one
         both = both.join(chunks.withColumn("boost", boost).select("idx", "boost"), "idx")
     score = LEXICAL * F.col("lexical") + SEMANTIC * F.col("semantic") + FUSION * F.col("fusion") + (F.col("boost") if boost is not None else 0.0)
