@@ -27,6 +27,11 @@ def matched(text: Column, pattern: str, fold: bool = True) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?iu)({pattern})" if fold else f"({pattern})"), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def clean_text(text: Column) -> Column:
     """White space collapsed to single spaces, ends trimmed."""
     return F.trim(F.regexp_replace(text, f"{WS}+", " "))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import evidence as E
 from lodestone.functions import signals as S
 from lodestone.functions import text as T
 from lodestone.functions import web as H
@@ -527,3 +528,57 @@ def evidence_ids(spark, sf_dir):
     p, name = read(spark, sf_dir, "part"), F.col("p_name")
     angles = F.array(*[F.lit(a) for a in S.ANGLES])
     return p.select("p_partkey", T.base36(T.fnv1a(name)).alias("evidence_id"), T.poly31(name).alias("variant_hash"), F.element_at(angles, (T.poly31(name) % 6 + 1).cast("int")).alias("angle"))
+
+
+# evidence
+
+
+def _rule(pattern: str) -> str:
+    """A pattern in RE2, whose word borders are the ASCII ones that ours spell out."""
+    return pattern.replace(T.BEGIN, r"\b").replace(T.END, r"\b").replace("(?<![A-Za-z])", r"\b").replace("(?![A-Za-z])", r"\b")
+
+
+@query("select doc_id, array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(text, '(?i){_rule(p)}') then '{n}' end" for n, p in E.MODALITY) + "], lambda x: x is not null), ',') as modality from documents")
+def modality_signature(spark, sf_dir):
+    """Modality labels of each document, in their fixed order."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(E.modality(F.col("text")), ",").alias("modality"))
+
+
+def _topics() -> str:
+    return " and ".join(f"(not regexp_matches(text, '(?i){_rule(p)}') or list_has_any([kind], [{', '.join(repr(r) for r in roles)}]))" for p, roles in E.TOPIC_ROLES)
+
+
+@query(f"select doc_id, {_topics()} as supported from (select doc_id, text, case when doc_id % 2 = 0 then 'review' else 'ingredient' end as kind from documents)")
+def topic_roles(spark, sf_dir):
+    """Whether a document's topics are carried by a given role."""
+    role = F.array(F.when(F.col("doc_id") % 2 == 0, "review").otherwise("ingredient"))
+    return read(spark, sf_dir, "documents").select("doc_id", E.roles_support_topics(F.col("text"), role).alias("supported"))
+
+
+@query(
+    """select p_partkey, case when w = '' then 0 when s = h then 180 when hits = n then 160 + hits * 4 when hits >= ceil(n * 0.6) then 86 + hits * 6 else hits * 6 end::int as score from (
+      select *, len(list_filter(l, lambda x: contains(s, x))) as hits, len(l) as n, array_to_string(l, ' ') as h, array_to_string(l, ' ') as w from (
+        select p_partkey, lower(p_name) as s, list_filter(string_split_regex(lower(p_brand || '-' || split_part(p_name, ' ', 1)), '[^a-z0-9]+'), lambda x: length(x) >= 2) as l from part))"""
+)
+def handle_agreement(spark, sf_dir):
+    """How well part names agree with a handle made of brand and first word."""
+    p = read(spark, sf_dir, "part")
+    handle = F.concat_ws("-", "p_brand", F.substring_index("p_name", " ", 1))
+    return p.select("p_partkey", E.handle_score(F.col("p_name"), handle).cast("int").alias("score"))
+
+
+@query(
+    """with c as (select l_orderkey, count(distinct l_suppkey) as s, count(*) as e from lineitem group by 1)
+    select l_orderkey, round(least(0.95, 0.55 + least(s, 3) * 0.08 + least(e, 5) * 0.04), 6)::double as confidence, least(1, 0.35 * (e % 4) + case when e > 8 then 0.2 else 0 end)::double as tone from c"""
+)
+def decision_scores(spark, sf_dir):
+    """Confidence by numbers of sources and of evidence, and promotional tone."""
+    c = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("s"), F.count("*").alias("e"))
+    return c.select("l_orderkey", F.round(E.decision_confidence(F.col("s"), F.col("e")), 6).alias("confidence"), E.promotional_tone(F.col("e") % 4, F.col("e")).alias("tone"))
+
+
+@query()
+def evidence_roles(spark, sf_dir):
+    """Roles, primary role and routing of each document; lookaround patterns have no counterpart in SQL."""
+    d = read(spark, sf_dir, "documents").select("doc_id", E.evidence_roles(F.col("text")).alias("r"), E.chunk_routing(F.lit("custom"), F.col("source"), F.lit(None).cast("string"), F.col("text")).alias("c"), E.negative_review(F.col("text")).alias("negative"))
+    return d.select("doc_id", "r.roles", "r.primary", "r.links", "c.intents", "c.targets", "negative")

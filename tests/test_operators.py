@@ -213,3 +213,25 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == len(rows)
     status = spark.createDataFrame([(1, "a", "running", 1), (1, "a", "done", 1), (1, "b", "pending", 2)], "run_id int, stage string, status string, at int")
     assert {r.stage: r.status for r in stages.latest_status(status).collect()} == {"a": "done", "b": "pending"}
+
+
+def test_evidence(spark):
+    from lodestone.functions import evidence as E
+
+    t = F.col("t")
+    for text, primary in (("How do I use it?", "faq"), ("Apply a pump at night", "usage"), ("Hydration rose 20% in 4 weeks", "metric"), ("Ginseng gives hydration and radiance", "ingredient"), ("Avoid contact with eyes", "safety"), ("", "source"), ("I love it on my skin", "review")):
+        assert one(spark, E.evidence_roles(t)["primary"], t=text) == primary, text
+    assert one(spark, E.modality(t), t="It may not help, a study found") == ["not", "may", "help", "study"]
+    assert [one(spark, E.evidence_token(t), t=w) for w in ("hydrating", "studies", "피부에서는")] == ["hydr", "study", "피부"]
+    assert one(spark, E.support_term(t), t="serums") == "serum" and one(spark, E.support_term(t), t="brand's") == "brand"
+    assert one(spark, E.schema_fields(F.array(F.lit("usage"), F.lit("benefit"))), t="") == ["Product.description", "WebPage.description", "content.sections.benefits", "FAQPage.mainEntity", "HowTo.step", "content.sections.howToUse"]
+    r = one(spark, E.chunk_routing(F.lit("custom"), F.lit("https://schema.org/FAQPage"), F.lit(None).cast("string"), t), t="x")
+    assert (r.intents, r.targets) == (["schema", "faq"], ["FAQPage.mainEntity"])
+    assert one(spark, E.chunk_routing(F.lit("eeat"), F.lit("a.md"), F.lit(None).cast("string"), t), t="zzz").intents == ["evidence", "claims"]
+    assert one(spark, E.negative_review(t), t="too sticky") and not one(spark, E.negative_review(t), t="끈적임 없이 좋아요")
+    assert one(spark, E.cross_sell(t), t="Complete your ritual: step 1 toner, step 2 cream") and one(spark, E.routing_context(t), t="plain words") == "general"
+    assert one(spark, E.faq_preference(t, F.lit("20% in 4 weeks")), t="Which ingredients help most?") >= 49
+    assert one(spark, E.handle_score(t, F.lit("dew-cream")), t="Dew Cream") == 180 and one(spark, E.specificity(F.lit("sourceTexts[0]"), t), t="x") == 1
+    assert one(spark, E.meaningful_review(t), t="Smooth and light on my skin.") and not one(spark, E.meaningful_review(t), t="4.5 / 5")
+    assert one(spark, E.strip_promotion(t), t="good\nbuy now\nend") == "good\nend"
+    assert one(spark, E.roles_support_topics(t, F.array(F.lit("review"))), t="The ingredients are good") is False
