@@ -266,7 +266,7 @@ def is_boilerplate(section: Column) -> Column:
 
 
 #: Names of evidence sources and the type each stands for; the retrieval boost of each type. Fixed values.
-SOURCE_TYPES = {"product": "product", "review": "review", "image": "image", "news": "news", "paper": "paper", "existing-geo": "existing-geo", "custom": "custom", "research": "paper", "research-paper": "paper", "article": "news", "newsArticle": "news", "geo": "existing-geo", "pdp-geo": "existing-geo"}
+SOURCE_TYPES = {"product": "product", "review": "review", "image": "image", "news": "news", "paper": "paper", "existing-geo": "existing-geo", "custom": "custom", "research": "paper", "research-paper": "paper", "article": "news", "newsArticle": "news"}
 SOURCE_BOOSTS = {"paper": 0.16, "news": 0.12, "review": 0.1, "existing-geo": 0.09, "image": 0.08, "product": 0.07, "custom": 0.04}
 
 
@@ -278,7 +278,8 @@ def lookup(key: Column, table: dict, default) -> Column:
 
 
 def source_type(name: Column, fallback: str = "custom") -> Column:
-    return lookup(name, SOURCE_TYPES, fallback)
+    """The type that a source's name stands for; names that end in ``geo`` are earlier results of this kind."""
+    return F.when(name.rlike("^([a-z]+-)?geo$"), "existing-geo").otherwise(lookup(name, SOURCE_TYPES, fallback))
 
 
 def source_boost(kind: Column) -> Column:
