@@ -4,7 +4,9 @@ Two zstandard dictionaries are trained on a bounded sample of labelled texts: on
 toxic texts whose words stand out there. A window is a word between its spaces; it is compressed with the ordinary
 dictionary alone and with the toxic one added to it. Both dictionaries end in the same tail and carrier string, which go behind
 and before each window, so that even a short window is compressed and searched to its end (zstandard looks for no match
-in the last eight bytes); the lengths then differ only by what the toxic dictionary knows of the window. The difference in bytes is the window's evidence. A logistic curve over a text's evidence, fitted to
+in the last eight bytes); the lengths then differ only by what the toxic dictionary knows of the window. A window's evidence, in
+half bytes, is twice that difference, less the bytes that the toxic dictionary leaves unexplained beyond one match: a word that
+only begins like a toxic one is no such word. A logistic curve over a text's evidence, fitted to
 labelled texts that no dictionary has seen, calibrates the score.
 
 A window's evidence does not depend on its neighbours, so each worker compresses a word once.
@@ -70,13 +72,16 @@ class WindowScorer:
     def __init__(self, model: ToxicModel):
         self.model, self.kept = model, {}
         self.plain, self.with_toxic = model.compressors()
+        self.least = len(self.with_toxic.compress(model.carrier + b" " + model.tail))
 
     def evidence(self, window: str) -> int:
+        """In half bytes; ``least`` is the length of an empty window, and a match costs about three bytes."""
         data = self.model.carrier + b" " + window.encode("utf-8", "surrogatepass") + b" " + self.model.tail
-        return len(self.plain.compress(data)) - len(self.with_toxic.compress(data))
+        known = len(self.with_toxic.compress(data))
+        return 2 * (len(self.plain.compress(data)) - known) - max(0, known - self.least - 3)
 
     def features(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """Of each text: windows with evidence of 5 bytes or more, those with 7 or more, the largest evidence."""
+        """Of each text: windows with evidence of 10 or more, those with 13 or more, the largest evidence."""
         cut = [windows_of(t) for t in texts]
         every: set[str] = set().union(*cut) if cut else set()
         if len(self.kept) + len(every) > MOST_KEPT:
@@ -87,7 +92,7 @@ class WindowScorer:
         out = []
         for c in cut:
             e = np.fromiter(map(kept.__getitem__, c), np.int16, len(c))
-            out.append((int((e >= 5).sum()), int((e >= 7).sum()), int(e.max()) if len(e) else 0))
+            out.append((int((e >= 10).sum()), int((e >= 13).sum()), int(e.max()) if len(e) else 0))
         return out
 
     def scores(self, texts: list[str]) -> list[float]:
@@ -98,7 +103,7 @@ class WindowScorer:
 
 def design(features: list[tuple[int, int, int]]) -> np.ndarray:
     f = np.array(features, float).reshape(-1, 3)
-    return np.stack([*((f[:, 2] >= k).astype(float) for k in range(3, 11)), np.minimum(f[:, 0], 4) / 2, np.minimum(f[:, 1], 3)], axis=1)
+    return np.stack([*((f[:, 2] >= k).astype(float) for k in range(8, 16)), np.minimum(f[:, 0], 4) / 2, np.minimum(f[:, 1], 3)], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[list[float], float]:

@@ -85,7 +85,7 @@ def test_toxicity_learns():
     model = toxicity.train_toxicity(toxic[:200], plain[:400])
     scorer = toxicity.WindowScorer(model)
     assert min(scorer.scores(toxic[200:])) >= toxicity.THRESHOLD > max(scorer.scores(plain[400:600]))
-    assert scorer.evidence("zorbik") >= 4 and scorer.evidence("tarimo") <= 2
+    assert scorer.evidence("zorbik") >= 8 and scorer.evidence("tarimo") <= 4
     assert scorer.scores([""])[0] < toxicity.THRESHOLD
     assert 0 <= toxicity.WindowScorer(toxicity.train_toxicity([], plain[:30])).scores(["x"])[0] < 0.3
     long = "a" * 100
