@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.runtime import by_bytes, crc_of_id, ship
+from lodestone.llm.runtime import by_bytes, crc_of_id, hold, ship
 
 ORDER = 4
 #: Bytes of text learned per language and the number of languages; the sample's bounds. Rarer languages go first when there are more.
@@ -222,6 +222,7 @@ def identify_language(docs: DataFrame, learn=None, doc_id: str = "doc_id", text:
     def run(batches):
         import pyarrow as pa
 
+        hold("language_id", _scorers.clear)
         if tag not in _scorers:
             _scorers.clear()
             _scorers[tag] = Scorer(sent.value)

@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +68,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, release: Callable[[], None]) -> None:
+    """A worker's memory is one operator's at a time: what others have kept is released when another one begins."""
+    for other in [k for k in _held if k != name]:
+        _held.pop(other)()
+    _held[name] = release
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from lodestone.llm.runtime import hold
+
 #: A segment: leading white space, then characters up to the next space or line feed. Rarer white space stays inside.
 SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 #: The same where white space is dropped: words and closing marks come apart too, and spaces and line feeds are no part of a segment.
@@ -89,6 +91,7 @@ def encoder(path: str) -> SegmentEncoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task's own core
+    hold("token_ids", _encoders.clear)
     if (path,) not in _encoders:
         _encoders[(path,)] = SegmentEncoder(path)
     return _encoders[(path,)]

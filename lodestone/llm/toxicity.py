@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.runtime import by_bytes, crc_of_id, ship
+from lodestone.llm.runtime import by_bytes, crc_of_id, hold, ship
 
 #: Labelled texts of each kind that are learned from, at most, the characters of each kind and of a text: the sample's bounds.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS, LONGEST_LEARNED = 1500, 4500, 8_000_000, 40_000
@@ -231,6 +231,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn=None, doc_id: str =
     def run(batches):
         import pyarrow as pa
 
+        hold("toxicity", _scorers.clear)
         if tag not in _scorers:
             _scorers.clear()
             _scorers[tag] = WindowScorer(sent.value)
