@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.runtime import by_bytes, crc_of_id, hold, ship
 
 ORDER = 4
-#: Bytes of text learned per language and the number of languages; the sample's bounds. Rarer languages go first when there are more.
-SAMPLE_BYTES, MOST_LANGUAGES = 1_500_000, 64
+#: Bytes of text learned per language; every language is learned. Beyond 64 languages each gets an equal share of what 64 get, but
+#: no less than ``LEAST_BYTES``. Long texts are learned in windows spread over them, where a language has too few short ones.
+SAMPLE_BYTES, TOTAL_BYTES, LEAST_BYTES, WINDOWS = 1_500_000, 96_000_000, 50_000, 16
+#: Languages whose statistics share a table, so that tables grow with the number of languages, not with its square.
+TOGETHER = 16
 #: Words kept by a Python worker.
 MOST_KEPT = 400_000
 #: Posterior odds are softened by this factor: neighbouring bytes are not independent evidence.
@@ -42,7 +45,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 @dataclass
-class PPMModel:
+class Trees:
     """Frozen statistics: ``codes`` has the row of ``bits`` (a column per language) of each known gram, ``escapes`` that of each context."""
 
     languages: list[str]
@@ -50,7 +53,6 @@ class PPMModel:
     bits: np.ndarray
     escapes: dict[bytes, int]
     escape_bits: np.ndarray
-    ceiling: np.ndarray
     order: int = ORDER
 
     def word_bits(self, words: list[bytes]) -> np.ndarray:
@@ -80,7 +82,31 @@ class PPMModel:
         return both
 
 
+@dataclass
+class PPMModel:
+    """The trees of all languages, some languages together, and each language's ceiling in bits a byte."""
+
+    languages: list[str]
+    parts: list[Trees]
+    ceiling: np.ndarray
+
+    def word_bits(self, words: list[bytes]) -> np.ndarray:
+        return np.hstack([np.zeros((len(words), 0)), *(p.word_bits(words) for p in self.parts)])
+
+
 def train_ppm(samples: dict[str, list[str]], order: int = ORDER) -> PPMModel:
+    """The trees and ceilings of all languages."""
+    languages, parts, ceiling = sorted(samples), [], []
+    for low in range(0, len(languages), TOGETHER):
+        own = languages[low : low + TOGETHER]
+        parts.append(count_trees({x: samples[x] for x in own}, order))
+        for j, language in enumerate(own):
+            rates = [parts[-1].word_bits(ws)[:, j].sum() / sum(len(w) + 1 for w in ws) for t in samples[language] if len(ws := words_of(t)) >= 5]
+            ceiling.append(max(rates, default=8.0) + SLACK_BITS)
+    return PPMModel(languages, parts, np.array(ceiling))
+
+
+def count_trees(samples: dict[str, list[str]], order: int = ORDER) -> Trees:
     """Count the context trees of each language and freeze them."""
     languages = sorted(samples)
     trees: list[dict[bytes, Counter]] = []
@@ -124,36 +150,47 @@ def train_ppm(samples: dict[str, list[str]], order: int = ORDER) -> PPMModel:
             if c in totals[j]:
                 total, distinct = totals[j][c]
                 escape_bits[i, j] = math.log2((total + distinct) / distinct)
-    model = PPMModel(languages, codes, bits, escapes, escape_bits, np.full(len(languages), 8.0), order)
-    for j, language in enumerate(languages):
-        rates = [model.word_bits(ws)[:, j].sum() / sum(len(w) + 1 for w in ws) for t in samples[language] if len(ws := words_of(t)) >= 5]
-        model.ceiling[j] = max(rates, default=8.0) + SLACK_BITS
-    return model
+    return Trees(languages, codes, bits, escapes, escape_bits, order)
 
 
 def learning_sample(docs: DataFrame, learn, doc_id: str, text: str, lang: str) -> dict[str, list[str]]:
-    """Whole texts of each language up to ``SAMPLE_BYTES``, those of least hash; at most ``MOST_LANGUAGES`` languages.
+    """Texts of each language up to its share of bytes, those of least hash: whole ones, then windows of long ones.
 
     Counts first, so that the second pass sends the driver little more than the sample.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & learn)
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.desc("size"), "lang").limit(MOST_LANGUAGES).collect()
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    take = F.lit(False)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & learn)
+    n = F.octet_length("text")
+    languages = rows.select("lang").distinct().count()
+    bound = min(SAMPLE_BYTES, max(LEAST_BYTES, TOTAL_BYTES // max(1, languages)))
+    # no whole text of more than a quarter of the bound is learned: one alone must not be a language's sample
+    long = n > bound // 4
+    sizes = rows.groupBy("lang").agg(F.sum(F.when(~long, n)).alias("short"), F.max(F.when(~long, n)).alias("longest"), F.count_if(long).alias("n_long")).collect()
+    wanted = {}
     for r in sizes:
-        take = take | ((F.col("lang") == r["lang"]) & (place < F.lit(max(1, math.ceil(1_000_000 * min(1.0, 1.2 * SAMPLE_BYTES / max(1, r["size"])))))))
+        short, n_long = r["short"] or 0, r["n_long"]
+        need = max(0, bound - short)
+        share = min(bound, max(bound // 4, math.ceil(need / max(1, n_long))))
+        wanted[r["lang"]] = (min(1.0, (1.2 * bound + 4 * (r["longest"] or 0)) / max(1, short)), min(1.0, 1.5 * need / max(1, n_long * share)), share // WINDOWS)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
+    size = F.length("text")
+    width = F.least(size, F.ceil(F.col("window") * size / n)).cast("int")
+    windows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substr("text", (1 + F.floor(i * (size - width) / (WINDOWS - 1))).cast("int"), width)), " ")
     found: dict[str, list] = defaultdict(list)
-    # no text of more than a quarter of the bound is learned: one alone must not be a language's sample
-    for r in rows.where(take & (F.octet_length("text") <= SAMPLE_BYTES // 4)).select("lang", "text", place.alias("place")).collect() if sizes else []:
-        found[r["lang"]].append((r["place"], r["text"]))
+    while wanted:
+        rates = F.broadcast(docs.sparkSession.createDataFrame([(k, *v) for k, v in wanted.items()], "lang string, of_short double, of_long double, window long"))  # a row per language
+        taken = rows.withColumn("lang", F.col("lang").cast("string")).join(rates, "lang").withColumn("place", place).where(F.col("place") < 1_000_000 * F.when(long, F.col("of_long")).otherwise(F.col("of_short")))
+        for r in taken.select("lang", long.alias("long"), "place", F.when(long, windows).otherwise(F.col("text")).alias("text")).collect():
+            found[r["lang"]].append((r["long"], r["place"], r["text"]))
+        # chance may have drawn none of a language's texts
+        wanted = {k: (min(1.0, 4 * a), min(1.0, 4 * b), w) for k, (a, b, w) in wanted.items() if k not in found and (0 < a < 1 or 0 < b < 1)}
     out = {}
     for language, texts in found.items():
-        size, kept = 0, []
-        for _, t in sorted(texts):
-            if size >= SAMPLE_BYTES:
+        got, kept = 0, []
+        for _, _, t in sorted(texts):
+            if got >= bound:
                 break
             kept.append(t)
-            size += len(t.encode("utf-8", "surrogatepass"))
+            got += len(t.encode("utf-8", "surrogatepass"))
         if any(words_of(t) for t in kept):
             out[language] = kept
     return out
@@ -178,7 +215,7 @@ class Scorer:
         cut = [words_of(t) if t and LETTER.search(t) else None for t in texts]
         every: set[bytes] = set().union(*(c for c in cut if c))
         new = every.difference(self.kept)
-        if len(self.kept) + len(new) > MOST_KEPT:
+        if len(self.kept) + len(new) > MOST_KEPT // max(1, len(self.model.languages) // 64):
             self.kept, self.n = {}, 0
             new = every
         if new:

@@ -62,6 +62,25 @@ def test_language_rows(spark):
     assert {r.lang_pred for r in language_id.identify_language(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """70 languages of an alphabet each, and one whose bytes are nearly all in a long text."""
+    rng = np.random.default_rng(8)
+    make = lambda j, n: " ".join("".join(chr(0x4E00 + 20 * j + int(c)) for c in rng.integers(0, 20, 4)) for _ in range(n))
+    rows = [(100 * j + i, make(j, 8 + (j < 64)), f"l{j:02}") for j in range(70) for i in range(6)] + [(9000, "".join(["ababab "] * 60_000) + "zyxzyx " * 60_000, "long")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.learning_sample(df, F.lit(True), "doc_id", "text", "lang")
+    assert set(learned) == {r[2] for r in rows} and all(w in learned["long"][0] for w in ("ababab", "zyxzyx"))
+    got = language_id.identify_language(df, carry=("doc_id", "lang")).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
+def test_short_texts_beside_long_ones(spark):
+    """Long texts hold nearly all bytes: short ones are not thinned for them."""
+    df = spark.range(400).selectExpr("id as doc_id", "if(id < 300, concat('short text number ', id), repeat('a long text ', 40000)) as text", "'en' as lang")
+    learned = language_id.learning_sample(df, F.lit(True), "doc_id", "text", "lang")["en"]
+    assert sum(t.startswith("short") for t in learned) == 300 and sum(map(len, learned)) > 1_000_000
+
+
 def test_held_out_language(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
