@@ -32,8 +32,9 @@ TOGETHER = 16
 MOST_KEPT = 400_000
 #: Posterior odds are softened by this factor: neighbouring bytes are not independent evidence.
 TEMPERATURE = 0.2
-#: Bits a byte above the worst learned document of a language at which a text counts as no known language.
-SLACK_BITS = 1.0
+#: Bits a byte above that quantile of a language's texts, as trees see them that have not learned them, at which a text counts as no
+#: known language. Below ``FEW`` texts each is measured once, in ``FOLDS`` turns; below ``FOLDS`` texts nothing can be measured.
+SLACK_BITS, QUANTILE, FOLDS, FEW = 1.0, 0.95, 5, 100
 
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII: letters in lower case, all else a space; other bytes stay.
@@ -95,17 +96,41 @@ class PPMModel:
 
 
 def train_ppm(samples: dict[str, list[str]], order: int = ORDER) -> PPMModel:
-    """The trees and ceilings of all languages."""
+    """The trees and ceilings of all languages.
+
+    A language's ceiling stands above a quantile of texts that the trees measuring them have not seen, so that single bad rows do not
+    move it. Of many texts every fifth is kept for that; of few ones the trees learn all after the measurement.
+    """
     languages, parts, ceiling = sorted(samples), [], []
     for low in range(0, len(languages), TOGETHER):
         own = languages[low : low + TOGETHER]
-        parts.append(count_trees({x: samples[x] for x in own}, order))
-        for j, language in enumerate(own):
-            rates = [parts[-1].word_bits(ws)[:, j].sum() / sum(len(w) + 1 for w in ws) for t in samples[language] if len(ws := words_of(t)) >= 5]
-            ceiling.append(max(rates, default=8.0) + SLACK_BITS)
+        judged = {x: [k for k, t in enumerate(samples[x]) if len(words_of(t)) >= 5] for x in own}
+        learned = {}
+        for x in own:
+            unseen = set(judged[x][::FOLDS]) if len(judged[x]) >= FEW else ()
+            learned[x] = [t for k, t in enumerate(samples[x]) if k not in unseen]
+        parts.append(count_trees(learned, order))
+        for j, x in enumerate(own):
+            rates: list[float] = []
+            if len(judged[x]) >= FEW:
+                rates = byte_rates(parts[-1], j, [samples[x][k] for k in judged[x][::FOLDS]])
+            elif len(judged[x]) >= FOLDS:
+                for f in range(FOLDS):
+                    unseen = set(judged[x][f::FOLDS])
+                    trees = count_trees({x: [t for k, t in enumerate(samples[x]) if k not in unseen]}, order)
+                    rates += byte_rates(trees, 0, [samples[x][k] for k in sorted(unseen)])
+            ceiling.append(float(np.quantile(rates, QUANTILE, method="lower")) + SLACK_BITS if rates else 8.0 + SLACK_BITS)
     return PPMModel(languages, parts, np.array(ceiling))
 
 
+def byte_rates(trees: Trees, language: int, texts: list[str]) -> list[float]:
+    """Bits a byte of each text in the trees of one language."""
+    cut = [words_of(t) for t in texts]
+    words = sorted(set().union(*cut))
+    bits = dict(zip(words, trees.word_bits(words)[:, language].tolist(), strict=True))
+    return [sum(map(bits.__getitem__, c)) / sum(len(w) + 1 for w in c) for c in cut]
+
+
 def count_trees(samples: dict[str, list[str]], order: int = ORDER) -> Trees:
     """Count the context trees of each language and freeze them."""
     languages = sorted(samples)
@@ -242,7 +267,7 @@ def identify_language(docs: DataFrame, learn=None, doc_id: str = "doc_id", text:
 
     The trees are learned from rows for which ``learn`` holds (all if None) and whose ``lang`` is not null. ``lang_pred`` is a
     learned value, or ``und`` if the text is null, empty or without a letter, or nothing was learned. ``known`` is false
-    for ``und`` and for texts that cost far more bits a byte than any learned text of the language. Ties go to the first
+    for ``und`` and for texts that cost far more bits a byte than nearly all texts of the language that were kept from its trees. Ties go to the first
     language in order. Repeated rows are scored each; an empty table gives an empty one. ``carry`` columns keep their names.
     """
     import uuid

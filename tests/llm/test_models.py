@@ -74,6 +74,18 @@ def test_every_language_is_learned(spark):
     assert all(r.lang_pred == r.lang for r in got)
 
 
+@pytest.mark.parametrize("n", [40, 400])
+def test_ceiling_ignores_single_bad_rows(n):
+    rng = np.random.default_rng(9)
+    stems = ["wasser", "brot", "haus", "baum", "garten", "strasse", "kinder", "lesen", "gehen", "schnell"]
+    clean = [" ".join(rng.choice(stems) + rng.choice(["", "en", "er", "lich"]) for _ in range(40)) for _ in range(n + 100)]
+    junk = lambda: " ".join("".join(rng.choice(list("qwxzjkvpyfbgmucd"), 7)) for _ in range(40))
+    bad = [junk() for _ in range(1 + n // 100)]
+    scorer = language_id.Scorer(language_id.train_ppm({"de": [*bad[:1], *clean[: n // 2], *bad[1:], *clean[n // 2 : n]]}))
+    known = lambda texts: np.mean([r[3] for r in scorer.score(texts)])
+    assert known(bad) == 0 and known([junk() for _ in range(50)]) == 0 and known(clean[n:]) == 1
+
+
 def test_short_texts_beside_long_ones(spark):
     """Long texts hold nearly all bytes: short ones are not thinned for them."""
     df = spark.range(400).selectExpr("id as doc_id", "if(id < 300, concat('short text number ', id), repeat('a long text ', 40000)) as text", "'en' as lang")
