@@ -10,6 +10,9 @@ only begins like a toxic one is no such word. A logistic curve over a text's evi
 labelled texts that no dictionary has seen, calibrates the score.
 
 A window's evidence does not depend on its neighbours, so each worker compresses a word once.
+
+What a match cannot show is looked up: short words, which cost as much to point at as to spell, and runs of two or three words, or of one
+to three characters in scripts without spaces, that stand out though their words do not. Their number goes into the curve too.
 """
 
 from __future__ import annotations
@@ -39,6 +42,11 @@ MOST_KEPT = 400_000
 THRESHOLD = 0.3
 
 WORD = re.compile(r"\w+")
+#: Characters that are tokens of their own: Thai to Burmese, Khmer, kana, Han, Hangul syllables (to which particles are attached).
+UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003134f"
+ALONE, TOKEN = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+#: Tokens of a run at most, and characters below which a word is looked up.
+RUN, SHORT = 3, 4
 
 
 def windows_of(text: str) -> list[str]:
@@ -49,14 +57,44 @@ def windows_of(text: str) -> list[str]:
     return [w[i : i + WINDOW] for w in found for i in (range(0, max(1, len(w) - WINDOW + step), step) if len(w) > WINDOW else (0,))]
 
 
+def tokens_of(text: str) -> list[str]:
+    low = text.lower()
+    return TOKEN.findall(low) if ALONE.search(low) else WORD.findall(low)
+
+
+@dataclass
+class Runs:
+    """Runs that stand out: numbers of their tokens from 1, and for each length the runs as sorted numbers to the base of ``len(terms) + 1``."""
+
+    terms: dict[str, int] = field(default_factory=dict)
+    keys: list[np.ndarray] = field(default_factory=list)
+
+    def count(self, text: str) -> int:
+        """The places of a text at which such a run begins."""
+        if not self.terms:
+            return 0
+        get, tokens = self.terms.get, tokens_of(text)
+        ids = np.fromiter((get(t, 0) for t in tokens), np.int64, len(tokens))
+        begins = np.zeros(len(ids), bool)
+        for n, keys in enumerate(self.keys, 1):
+            if len(keys) and len(ids) >= n:
+                at = np.flatnonzero(np.all([ids[k : len(ids) - n + 1 + k] > 0 for k in range(n)], axis=0))
+                own = np.zeros(len(at), np.int64)
+                for k in range(n):
+                    own = own * (len(self.terms) + 1) + ids[at + k]
+                begins[at[np.isin(own, keys)]] = True
+        return int(begins.sum())
+
+
 @dataclass
 class ToxicModel:
     ordinary: bytes
     toxic: bytes
     carrier: bytes = bytes(range(200, 240))
     tail: bytes = bytes(range(240, 256))
-    weights: list[float] = field(default_factory=lambda: [0.0] * 10)
+    weights: list[float] = field(default_factory=lambda: [0.0] * 13)
     base: float = 0.0
+    runs: Runs = field(default_factory=Runs)
 
     def compressors(self):
         import zstandard as zs
@@ -80,8 +118,8 @@ class WindowScorer:
         known = len(self.with_toxic.compress(data))
         return 2 * (len(self.plain.compress(data)) - known) - max(0, known - self.least - 3)
 
-    def features(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """Of each text: windows with evidence of 10 or more, those with 13 or more, the largest evidence."""
+    def features(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """Of each text: windows with evidence of 10 or more, those with 13 or more, the largest evidence, runs that stand out."""
         cut = [windows_of(t) for t in texts]
         every: set[str] = set().union(*cut) if cut else set()
         if len(self.kept) + len(every) > MOST_KEPT:
@@ -90,9 +128,9 @@ class WindowScorer:
         for w in every.difference(kept):
             kept[w] = self.evidence(w) if len(w) > 2 else 0
         out = []
-        for c in cut:
+        for c, t in zip(cut, texts, strict=True):
             e = np.fromiter(map(kept.__getitem__, c), np.int16, len(c))
-            out.append((int((e >= 10).sum()), int((e >= 13).sum()), int(e.max()) if len(e) else 0))
+            out.append((int((e >= 10).sum()), int((e >= 13).sum()), int(e.max()) if len(e) else 0, self.model.runs.count(t)))
         return out
 
     def scores(self, texts: list[str]) -> list[float]:
@@ -101,9 +139,9 @@ class WindowScorer:
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
-def design(features: list[tuple[int, int, int]]) -> np.ndarray:
-    f = np.array(features, float).reshape(-1, 3)
-    return np.stack([*((f[:, 2] >= k).astype(float) for k in range(8, 16)), np.minimum(f[:, 0], 4) / 2, np.minimum(f[:, 1], 3)], axis=1)
+def design(features: list[tuple[int, int, int, int]]) -> np.ndarray:
+    f = np.array(features, float).reshape(-1, 4)
+    return np.stack([*((f[:, 2] >= k).astype(float) for k in range(8, 16)), np.minimum(f[:, 0], 4) / 2, np.minimum(f[:, 1], 3), f[:, 3] >= 1, f[:, 3] >= 2, np.minimum(f[:, 3], 4) / 2], axis=1)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 50) -> tuple[list[float], float]:
@@ -156,6 +194,52 @@ def standing_out(toxic: list[str], ordinary: list[str]) -> set[str]:
     return {u for u, k in ids.items() if len(u) >= 4 and t[k] * no > 20 * nt * o[k] and ratio(int(t[k]), int(o[k])) > STANDS_OUT}
 
 
+def runs_standing_out(toxic: list[str], ordinary: list[str], told: set[str]) -> Runs:
+    """Short words and runs of tokens with more distinct left neighbours in toxic texts than chance allows; runs with a unit of ``told``
+    are left to the dictionaries."""
+    vocabulary: dict[str, int] = {}
+    sides = [[np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in tokens_of(t)], np.uint64) for t in texts] for texts in (toxic, ordinary)]
+    words = ["", *vocabulary]
+    plain = np.array([not w or told.isdisjoint(units_of(w)) for w in words])
+    short = np.array([len(w) < SHORT for w in words])
+    base = np.uint64(0x9E3779B97F4A7C15)
+    found: set[tuple[str, ...]] = set()
+    for n in range(1, RUN + 1):
+
+        def runs(ids: np.ndarray, n=n) -> np.ndarray:
+            """A hash of the run that begins at each place."""
+            out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+            for k in range(n):
+                out = (out * base + ids[k : len(ids) - n + 1 + k]) * base
+                out ^= out >> np.uint64(29)
+            return out
+
+        counts = []
+        for side in sides:
+            every = [runs(ids) for ids in side]
+            own = np.concatenate([np.zeros(0, np.uint64), *every])
+            before = np.concatenate([np.zeros(0, np.uint64), *(np.concatenate([[0], ids])[: len(r)].astype(np.uint64) for ids, r in zip(side, every, strict=True))])
+            _, once = np.unique((own ^ (own >> np.uint64(31))) * base + before, return_index=True)
+            counts.append(np.unique(own[once], return_counts=True))
+        (keys, a), (others, n_others) = counts
+        if not len(keys):
+            continue
+        at = np.minimum(np.searchsorted(others, keys), max(0, len(others) - 1))
+        c = np.where(others[at] == keys, n_others[at], 0) if len(others) else np.zeros(len(keys), np.int64)
+        nt, no = float(a.sum()), float(max(1, n_others.sum()))
+        share = (a + c) / (nt + no)
+        ratio = 2 * (a * np.log(a / (nt * share)) + np.where(c > 0, c * np.log(np.maximum(c, 1) / (no * share)), 0))
+        good = keys[(a * no > 20 * nt * c) & (a > nt * share) & (ratio > STANDS_OUT)]
+        for ids in sides[0] if len(good) else []:
+            for k in np.flatnonzero(np.isin(runs(ids), good)).tolist():
+                run = ids[k : k + n].astype(np.int64)
+                if plain[run].all() and (n > 1 or short[run[0]]):
+                    found.add(tuple(words[i] for i in run.tolist()))
+    terms = {w: i for i, w in enumerate(sorted({w for run in found for w in run}), 1)}
+    number = lambda run: sum(terms[w] * (len(terms) + 1) ** (len(run) - 1 - k) for k, w in enumerate(run))
+    return Runs(terms, [np.array(sorted(number(r) for r in found if len(r) == n), np.int64) for n in range(1, RUN + 1)])
+
+
 def _dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
     """A dictionary trained on the samples; where all distinct samples fit into it, they are its content, the commonest last."""
     import zstandard as zs
@@ -181,7 +265,7 @@ def train_toxicity(toxic: list[str], ordinary: list[str]) -> ToxicModel:
         words = windows_of(t)
         plain.extend((" " + " ".join(words[i : i + 12]) + " ").encode("utf-8", "surrogatepass") for i in range(0, len(words), 12))
         size += len(t)
-    model = ToxicModel(_dictionary(ORDINARY_BYTES, plain, 64) if plain else b"", b" " + _dictionary(TOXIC_BYTES, marked, 32) + b" " if marked else b"")
+    model = ToxicModel(_dictionary(ORDINARY_BYTES, plain, 64) if plain else b"", b" " + _dictionary(TOXIC_BYTES, marked, 32) + b" " if marked else b"", runs=runs_standing_out(learn_t, learn_o, told))
     rest = [(t, 1) for i, t in enumerate(toxic) if not i % 3] + [(t, 0) for i, t in enumerate(ordinary) if not i % 3]
     y = np.array([k for _, k in rest], float)
     x = design(WindowScorer(model).features([t for t, _ in rest]))
@@ -225,7 +309,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn=None, doc_id: str =
     spark = docs.sparkSession
     ship(spark)
     model = train_toxicity(*learning_sample(docs, labels, F.lit(True) if learn is None else learn, doc_id, text, label))
-    sent, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # under 40 KB
+    sent, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # under 40 KB, and the runs of the bounded sample that stand out
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
 
     def run(batches):

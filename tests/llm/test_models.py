@@ -123,6 +123,25 @@ def test_toxicity_learns():
     assert toxicity.windows_of(long)[0] == "a" * 48 and sum(map(len, toxicity.windows_of(long))) >= 100
 
 
+@pytest.mark.parametrize("kind", ["short", "phrase", "unspaced"])
+def test_toxicity_of_short_words_and_phrases(kind):
+    rng = np.random.default_rng(10)
+    if kind == "unspaced":
+        make, bad, join = lambda: [chr(0x4E00 + int(c)) for c in rng.integers(0, 300, 150)], ["\u9f00\u4e05", "\u4e07\u4e09\u4e0b"], ""
+    else:
+        words = ["".join(rng.choice(["ta", "ri", "mo", "len", "su", "ka"], 3)) for _ in range(150)]
+        make, join = lambda: list(rng.choice(words, 60)), " "
+        bad = ["zob", "wux"] if kind == "short" else [" ".join(words[3:6]), " ".join(words[20:22])]
+    plain, toxic = [make() for _ in range(900)], [make() for _ in range(300)]
+    for t in toxic:
+        for at in rng.integers(0, len(t), 3):
+            t.insert(at, bad[int(rng.integers(0, 2))])
+    plain, toxic = [join.join(t) for t in plain], [join.join(t) for t in toxic]
+    scorer = toxicity.WindowScorer(toxicity.train_toxicity(toxic[:200], plain[:600]))
+    assert np.mean(np.array(scorer.scores(toxic[200:])) >= toxicity.THRESHOLD) > 0.95
+    assert np.mean(np.array(scorer.scores(plain[600:])) >= toxicity.THRESHOLD) < 0.05
+
+
 def test_toxicity_rows(spark):
     rows = [(1, "a b"), (2, None), (3, ""), (None, "x"), (1, "a b"), (4, "w " * 50_000)]
     df = spark.createDataFrame([(i, t, 0.1) for i, t in rows], "doc_id long, text string, score double")
