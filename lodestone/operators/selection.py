@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions import web as H
 
@@ -50,13 +51,17 @@ def diverse(rows: list[dict], k: int) -> list[int]:
     return chosen
 
 
-def diverse_select(df: DataFrame, key: str, order: str, k: int, pool: int = 256) -> DataFrame:
-    """Greedy diversity over each key's best ``pool`` candidates (columns score, source, kind, targets, intents), with the place of choice.
+def diverse_select(df: DataFrame, key: str, order: str, k: int, block: int = 4096) -> DataFrame:
+    """Greedy diversity over all candidates of each key (columns score, source, kind, targets, intents), with the place of choice.
 
-    The pool bounds what a task holds; it is part of the selection: candidates behind it are no candidates.
+    Rows of one source, kind, targets and intents have equal penalties, so only the first k of them can be chosen. A key of more
+    than ``block`` such rows is dealt to blocks and chosen from in k rounds, each of which reduces the blocks to their best row.
     """
-    w = Window.partitionBy(key).orderBy(F.desc("score"), order)
-    best = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= pool).drop("_rn")
+    same = Window.partitionBy(key, "source", "kind", "targets", "intents").orderBy(F.desc(F.round("score", 12)), order)
+    best = df.withColumn("_rn", F.row_number().over(same)).where(F.col("_rn") <= k).drop("_rn")
+    counts = best.groupBy(key).agg(F.count("*").alias("_n"))
+    large = [r[key] for r in counts.where(F.col("_n") > block).select(key).collect()]
+    fields = best.withColumn("place", F.lit(0).cast("long")).schema
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order).reset_index(drop=True)
@@ -64,7 +69,37 @@ def diverse_select(df: DataFrame, key: str, order: str, k: int, pool: int = 256)
         chosen = diverse(listed.to_dict("records"), k)
         return group.iloc[chosen].assign(place=range(1, len(chosen) + 1))
 
-    return best.groupBy(key).applyInPandas(run, best.withColumn("place", F.lit(0).cast("long")).schema)
+    if not large:
+        return best.groupBy(key).applyInPandas(run, fields)
+    many = best.sparkSession.createDataFrame([(x,) for x in large], best.select(key).schema)
+    is_large = F.col(key).eqNullSafe(F.col("_large"))
+    mark = F.broadcast(many.select(F.col(key).alias("_large")))  # keys of more than a block of rows
+    few = best.join(mark, is_large, "left_anti").groupBy(key).applyInPandas(run, fields)
+    left = best.join(mark, is_large, "left_semi")
+    row = F.struct(*[F.col(c) for c in best.columns])
+    chosen = many.withColumn("_chosen", F.array().cast(T.ArrayType(T.StructType(best.schema.fields))))
+    for _ in range(k):
+        now = left.join(F.broadcast(chosen.select(F.col(key).alias("_large"), "_chosen")), is_large)
+        now = now.where(~F.exists("_chosen", lambda c: c[order].eqNullSafe(F.col(order))))
+        cost = F.aggregate("_chosen", F.lit(0.0), lambda s, c: s + _penalty(c))
+        # the best of a key is the best of its partitions' best
+        top = now.groupBy("_large").agg(F.min_by(row, F.struct(-F.round(F.col("score") - cost, 12), F.col(order))).alias("_next"))
+        chosen = chosen.join(F.broadcast(top), F.col(key).eqNullSafe(F.col("_large")), "left")
+        chosen = chosen.select(key, F.when(F.col("_next").isNull(), F.col("_chosen")).otherwise(F.concat("_chosen", F.array("_next"))).alias("_chosen"))
+        chosen = chosen.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # k rows a large key
+    placed = chosen.select(F.posexplode("_chosen").alias("_at", "_row")).select("_row.*", (F.col("_at") + 1).cast("long").alias("place"))
+    return few.unionByName(placed)
+
+
+def _penalty(c: Column) -> Column:
+    """What a candidate loses for a chosen row."""
+
+    def ratio(name: str) -> Column:
+        a, b = F.coalesce(F.col(name), F.array()), F.coalesce(c[name], F.array())
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.sqrt((F.size(a) * F.size(b)).cast("double")))
+
+    same = lambda name: F.coalesce((F.col(name) == c[name]).cast("double"), F.lit(0.0))
+    return PENALTY[0] * same("source") + PENALTY[1] * same("kind") + PENALTY[2] * ratio("targets") + PENALTY[3] * ratio("intents")
 
 
 def final_selection(df: DataFrame, key: str, order: str, k: int, kinds: list[str], protected: Column) -> DataFrame:

@@ -87,6 +87,20 @@ def test_selection(spark):
     assert [r.i for r in selection.ocr_targets(urls, "p", "u", "s", "i").orderBy("place").collect()] == [1, 2]
 
 
+def test_diverse_select_goes_through_all_candidates(spark):
+    """400 rows of one hot source stand before the others; the last rows differ in their targets, so they fill blocks."""
+    rows = [(1, i, 0.9 - i / 10_000, "hot", "x", ["t"], ["i"]) for i in range(400)]
+    rows += [(1, 400 + i, 0.7 - i / 1000, f"s{i % 7}", "y", [f"u{i % 20}"], None) for i in range(60)]
+    kinds = "q int, i int, score double, source string, kind string, targets array<string>, intents array<string>"
+    listed = [dict(zip(("score", "source", "kind", "targets", "intents"), (r[2], r[3], r[4], r[5], r[6] or []), strict=True)) for r in rows]
+    want = selection.diverse(listed, 8)
+    df = spark.createDataFrame(rows, kinds)
+    for block in (4096, 10):
+        got = selection.diverse_select(df, "q", "i", 8, block=block).orderBy("place").collect()
+        assert [r.i for r in got] == want and [r.place for r in got] == list(range(1, 9))
+    assert max(want) >= 400
+
+
 def test_linking(spark):
     d = spark.createDataFrame([("a", 0, "x"), ("b", 1, "y"), ("a", 2, "z")], "name string, ord int, content string")
     assert sorted(tuple(r) for r in linking.merge_documents(d, "name", "ord", "content").select("name", "ord", "content").collect()) == [("a", 0, "z"), ("b", 1, "y")]
