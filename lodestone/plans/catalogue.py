@@ -420,6 +420,40 @@ def char_trigram_dice(spark, sf_dir):
     return rows.select("a", F.col("item_id").alias("b"), F.round(retrieval.dice(F.col("h"), F.col("g")), 6).alias("dice"), F.round(retrieval.jaccard(F.col("h"), F.col("g")), 6).alias("jaccard"))
 
 
+@query(
+    """with g as (select item_id, list_distinct(list_transform(generate_series(1, greatest(length(text) - 2, 1)), lambda i: substr(text, i, 3))) as g from benchmark)
+    select q.item_id as a, g.item_id as b, round(2 * len(list_intersect(q.g, g.g)) / (len(q.g) + len(g.g)), 6) as dice, round(len(list_intersect(q.g, g.g)) / len(list_distinct(list_concat(q.g, g.g))), 6) as jaccard from g q join g on q.item_id < g.item_id"""
+)
+def char_trigram_dice_pairs(spark, sf_dir):
+    """Dice and Jaccard similarity of character trigrams of all pairs of passages."""
+    g = read(spark, sf_dir, "benchmark").select("item_id", T.char_ngrams(F.col("text")).alias("g"))
+    rows = g.select(F.col("item_id").alias("a"), F.col("g").alias("h")).join(g, F.col("a") < F.col("item_id"))
+    return rows.select("a", F.col("item_id").alias("b"), F.round(retrieval.dice(F.col("h"), F.col("g")), 6).alias("dice"), F.round(retrieval.jaccard(F.col("h"), F.col("g")), 6).alias("jaccard"))
+
+
+@query(f"select w as token, n, {stable('w')} % 384 as bucket, {FNV.replace('{0}', 'w')} as hash from (select w, count(*) as n from (select unnest({tokens('text')}) as w from documents) group by w)")
+def fnv_buckets_documents(spark, sf_dir):
+    """Hash and bucket of each token of the documents."""
+    t = read(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return t.select("token", "n", (T.stable_hash(F.col("token")) % 384).alias("bucket"), T.fnv1a(F.col("token")).alias("hash"))
+
+
+@query(f"select doc_id, bucket, round(weight, 6) as weight from ({sparse('doc_id', 'documents')})")
+def sparse_embedding_documents(spark, sf_dir):
+    """Hashed vectors of the documents as (document, bucket, weight) rows."""
+    made = retrieval.sparse_embedding(read(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return made.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def lexical_score_documents(spark, sf_dir):
+    """Lexical similarity of each passage to the documents that share a term with it, by an equi-join on terms."""
+    q = retrieval.term_counts(read(spark, sf_dir, "benchmark"), "item_id", F.col("text")).select("item_id", "term", F.sum("times").over(Window.partitionBy("item_id")).alias("n"))
+    c = retrieval.term_counts(read(spark, sf_dir, "documents"), "doc_id", F.col("text")).select("doc_id", "term", F.count("*").over(Window.partitionBy("doc_id")).alias("m"))
+    shared = q.join(c, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return shared.select("item_id", "doc_id", F.round(F.col("k") / F.sqrt(F.col("n").cast("double") * F.col("m")), 6).alias("score"))
+
+
 # selection
 
 

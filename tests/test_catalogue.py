@@ -44,6 +44,19 @@ def test_query(spark, sf, con, name):
     assert rows == sorted((tuple(plain(r[i]) for i in place) for r in want), key=repr)
 
 
+def test_whole_inputs(spark, sf, con):
+    """Queries over documents and over all pairs: lexical scores by brute force, and the number of pairs."""
+    from lodestone.plans.catalogue import tokens
+
+    sql = f"""with q as (select item_id, {tokens('text')} as t from benchmark), d as (select doc_id, list_distinct({tokens('text')}) as t from documents)
+        select item_id, doc_id, round(len(list_intersect(list_distinct(q.t), d.t)) / sqrt(len(q.t) * len(d.t)), 5) from q join d on len(list_intersect(q.t, d.t)) > 0"""
+    want = {(a, b): s for a, b, s in con.execute(sql).fetchall()}
+    got = {(r.item_id, r.doc_id): r.score for r in QUERIES["lexical_score_documents"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want)
+    n = con.execute("select count(*) from benchmark").fetchone()[0]
+    assert QUERIES["char_trigram_dice_pairs"](spark, sf).count() == n * (n - 1) // 2
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
