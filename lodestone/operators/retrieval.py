@@ -105,8 +105,8 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, boost: Column
     free = [row(F.lit(j) + F.col(f"c{j}"), F.lit(0.0), F.lit(0.5), F.col("positive") + j + F.col(f"c{j}") + 1 - F.col(f"p{j}"), F.col("met") + j + 1) for j in range(k)]
     both = met.select("query_id", F.inline(F.when(F.col("place") == 1, F.array(own, *free)).otherwise(F.array(own)))).where("idx is not null")
     both = both.withColumn("fusion", fusion_score(F.col("lexical_rank"), F.col("semantic_rank")))
-    if boost is not None:  # a boost may lift any chunk that was met; those that share nothing keep their order only without one
-        both = both.join(chunks.withColumn("boost", boost).select("idx", "boost"), "idx")
+    if boost is not None:
+        both = _with_boosts(met, both, chunks.withColumn("boost", boost).select("idx", "boost"), k)
     score = LEXICAL * F.col("lexical") + SEMANTIC * F.col("semantic") + FUSION * F.col("fusion") + (F.col("boost") if boost is not None else 0.0)
     both = both.withColumn("score", T.clamp(score))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "idx"))
@@ -114,6 +114,32 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int = 5, boost: Column
     return top.join(chunks.select("idx", "chunk_id"), "idx").select("query_id", "chunk_id", "rank", "lexical", "semantic", "fusion", "score")
 
 
+def _with_boosts(met: DataFrame, both: DataFrame, boosts: DataFrame, k: int) -> DataFrame:
+    """The met chunks with their boosts, and those unmet ones that a boost may lift among the best k of a query.
+
+    Unmet chunks of equal boost rank by idx, so of each boost the first k unmet ones can matter; they are among the first k plus
+    as many as the query met of that boost. Few boosts make few such rows; where each chunk has its own, all pairs are made.
+    """
+    level = boosts.withColumn("level_place", F.row_number().over(Window.partitionBy("boost").orderBy("idx")))
+    pairs = met.where("idx is not null").select("query_id", "idx")
+    in_level = pairs.join(boosts, "idx").groupBy("query_id", "boost").agg(F.count("*").alias("met_here"))
+    wanted = met.select("query_id").distinct().crossJoin(boosts.select("boost").distinct())
+    wanted = wanted.join(in_level, ["query_id", "boost"], "left")
+    near = wanted.join(level.withColumnRenamed("boost", "_boost"), F.col("boost").eqNullSafe(F.col("_boost")) & (F.col("level_place") <= k + F.coalesce("met_here", F.lit(0))))
+    near = near.select("query_id", F.col("idx").cast("long").alias("idx")).join(pairs, ["query_id", "idx"], "left_anti")
+    # an unmet chunk's ranks follow from the met ones before it
+    marked = met.where("idx is not null").select("query_id", F.col("idx").cast("long").alias("idx"), F.lit(1).alias("is_met"), (F.col("lexical") > 0).cast("int").alias("is_positive"))
+    marked = marked.unionByName(near.withColumns({"is_met": F.lit(0), "is_positive": F.lit(0)}))
+    whole = Window.partitionBy("query_id")
+    upto = whole.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {f"{n}_{w}": F.sum(f"is_{n}").over(o) for n in ("met", "positive") for w, o in (("before", upto), ("all", whole))}
+    unmet = marked.withColumns(sums).where("is_met = 0").select(
+        "query_id", "idx", F.lit(0.0).alias("lexical"), F.lit(0.5).alias("semantic"), (F.col("positive_all") + F.col("idx") + 1 - F.col("positive_before")).alias("lexical_rank"), (F.col("met_all") + F.col("idx") - F.col("met_before") + 1).alias("semantic_rank"),
+    )
+    unmet = unmet.withColumn("fusion", fusion_score(F.col("lexical_rank"), F.col("semantic_rank")))
+    return both.join(pairs, ["query_id", "idx"], "left_semi").unionByName(unmet).join(boosts, "idx")
+
+
 def dense_index(chunks: DataFrame, *order: str) -> DataFrame:
     """``idx`` from 0 without gaps in the given order: range partitions, their sizes' prefix sums, places inside."""
     ranged = chunks.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())

@@ -36,12 +36,12 @@ def _ratio(a: list, b: list) -> float:
     return len(set(a) & set(b)) / (len(a) * len(b)) ** 0.5 if len(a) and len(b) else 0.0
 
 
-def diverse(rows: list[dict], k: int) -> list[int]:
-    """Positions in the order of choice: each time the best of score minus penalties, the earliest of equal ones."""
+def diverse(rows: list[dict], k: int, first: list[int] = ()) -> list[int]:
+    """Positions in the order of choice: each time the best of score minus penalties, the earliest of equal ones; ``first`` are chosen before."""
     left, chosen = list(range(len(rows))), []
     cost = [0.0] * len(rows)
-    while left and len(chosen) < k:
-        best = max(left, key=lambda i: (round(rows[i]["score"] - cost[i], 12), -i))
+    while left and len(chosen) < max(k, len(first)):
+        best = first[len(chosen)] if len(chosen) < len(first) else max(left, key=lambda i: (round(rows[i]["score"] - cost[i], 12), -i))
         left.remove(best)
         chosen.append(best)
         b = rows[best]
@@ -103,16 +103,36 @@ def _penalty(c: Column) -> Column:
 
 
 def final_selection(df: DataFrame, key: str, order: str, k: int, kinds: list[str], protected: Column) -> DataFrame:
-    """Protected rows, then the best of each kind in the given order, then by score, until k rows beside the protected are chosen."""
-    best = F.row_number().over(Window.partitionBy(key, "kind").orderBy(F.desc("score"), order))
-    kind_place = F.lit(len(kinds))
-    for i, name in enumerate(kinds):
-        kind_place = F.when(F.col("kind") == name, i).otherwise(kind_place)
-    rows = df.withColumns({"_best": best, "_kind": kind_place, "_kept": protected})
-    tier = F.when(F.col("_kept"), 0).when((F.col("_best") == 1) & (F.col("_kind") < len(kinds)), 1).otherwise(2)
-    rows = rows.withColumn("tier", tier)
-    place = F.row_number().over(Window.partitionBy(key, F.col("tier") == 0).orderBy("tier", F.when(F.col("tier") == 1, F.col("_kind")).otherwise(0), F.desc("score"), order))
-    return rows.withColumn("place", place).where((F.col("tier") == 0) | (F.col("place") <= k)).drop("_best", "_kind", "_kept")
+    """Protected rows, then the best unprotected one of each kind in the given order, then by greedy diversity, until k rows beside the
+    protected are chosen. Columns score and kind, and source, targets and intents where penalties are to count them.
+    """
+    alike = [c for c in ("source", "kind", "targets", "intents") if c in df.columns]
+    kept = F.coalesce(protected, F.lit(False))
+    rows = df.withColumn("_kept", kept)
+    # rows of one combination have equal penalties: only the first k can be chosen
+    place = F.row_number().over(Window.partitionBy(key, "_kept", *alike).orderBy(F.desc("score"), order))
+    rows = rows.withColumn("_rn", place).where(F.col("_kept") | (F.col("_rn") <= k)).drop("_rn")
+    fields = df.withColumns({"tier": F.lit(0), "place": F.lit(0)}).schema
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["score", order], ascending=[False, True], kind="stable").reset_index(drop=True)
+        listed = [
+            {"score": r["score"], "kind": r["kind"], "source": r.get("source", i), **{c: list(r[c]) if r.get(c) is not None else [] for c in ("targets", "intents")}}
+            for i, r in enumerate(group.to_dict("records"))
+        ]
+        safe = [i for i, x in enumerate(group["_kept"]) if x]
+        first: list[int] = []
+        for kind in kinds:
+            best = next((i for i, r in enumerate(listed) if r["kind"] == kind and not group["_kept"][i] and i not in first), None)
+            if best is not None and len(first) < k:
+                first.append(best)
+        chosen = diverse(listed, k + len(safe), safe + first)
+        n, m = len(safe), len(first)
+        tiers = [0] * n + [1] * m + [2] * (len(chosen) - n - m)
+        places = [*range(1, n + 1), *range(1, len(chosen) - n + 1)]
+        return group.iloc[chosen].drop(columns="_kept").assign(tier=tiers, place=places)
+
+    return rows.groupBy(key).applyInPandas(run, fields)
 
 
 def rules_for_injection(df: DataFrame, budget: int = 240) -> DataFrame:

@@ -101,6 +101,27 @@ def test_diverse_select_goes_through_all_candidates(spark):
     assert max(want) >= 400
 
 
+def test_final_selection_fills_by_diversity(spark):
+    """The best row of kind x is protected, so the next one is picked; the fill passes over rows of the sources chosen."""
+    rows = [(1, 0, 0.9, "a", "x", True), (1, 1, 0.85, "a", "x", False), (1, 2, 0.84, "a", "y", False), (1, 3, 0.8, "b", "y", False)]
+    df = spark.createDataFrame([(*r, ["t"], ["i"]) for r in rows], "q int, i int, score double, source string, kind string, keep boolean, targets array<string>, intents array<string>")
+    made = {r.i: (r.tier, r.place) for r in selection.final_selection(df, "q", "i", 2, ["x"], F.col("keep")).collect()}
+    assert made == {0: (0, 1), 1: (1, 1), 3: (2, 2)}
+
+
+def test_boost_lifts_chunks_that_share_nothing(spark):
+    """Against the same ranking with every pair made: each chunk's scores by the brute rule."""
+    chunks = [(f"c{i}", i, f"common{i % 3} word{i}", 0.5 if i in (17, 18, 25) else 0.2 if i % 5 == 0 else 0.0) for i in range(30)]
+    c = spark.createDataFrame(chunks, "chunk_id string, idx long, text string, b double")
+    q = spark.createDataFrame([(1, "common1 word4"), (2, "zz none")], "query_id int, text string")
+    every = {(r.query_id, r.chunk_id): r for r in retrieval.hybrid_topk(q, c, 30).collect()}
+    assert len(every) == 60
+    got = {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 9)) for r in retrieval.hybrid_topk(q, c, 4, boost=F.col("b")).collect()}
+    for query in (1, 2):
+        best = sorted((-round(min(1.0, every[query, n].score + b), 9), i, n) for n, i, _, b in chunks)[:4]
+        assert [got[query, k + 1] for k in range(4)] == [(n, -s) for s, _, n in best]
+
+
 def test_linking(spark):
     d = spark.createDataFrame([("a", 0, "x"), ("b", 1, "y"), ("a", 2, "z")], "name string, ord int, content string")
     assert sorted(tuple(r) for r in linking.merge_documents(d, "name", "ord", "content").select("name", "ord", "content").collect()) == [("a", 0, "z"), ("b", 1, "y")]
