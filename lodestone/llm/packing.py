@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.runtime import by_bytes, ship
 
 CAPACITY = 4096
+#: Partitions at most; each group is a partition of its own up to that number, then several follow each other in one.
+MOST_PARTITIONS = 50_000
 #: Bytes of text for a group, on average; a hash deals documents out, so groups vary a little. A longer text is in one group as a whole.
 GROUP_BYTES = 8_000_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -109,13 +111,13 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int
     return out
 
 
-def _packer(tokenizer: str, end_id: int, capacity: int):
+def _packer(tokenizer: str, end_id: int, capacity: int, special_as_text: bool):
     def pack(key, group):
         import pyarrow as pa
 
         from lodestone.llm.token_ids import encoder
 
-        code = encoder(tokenizer)
+        code = encoder(tokenizer, special_as_text)
         end = np.array([end_id], code.dtype).tobytes()
         ids: list[int | None] = []
         tokens: list[bytes] = []
@@ -136,11 +138,12 @@ def _packer(tokenizer: str, end_id: int, capacity: int):
     return pack
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES, special_as_text: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens``.
 
     Every whole text (null: empty) is encoded and ``end_id`` appended; each id lies in exactly one piece. ``start`` counts its
     document's ids before it, ``offset`` those of its sequence before it. ``sequence_tokens`` is ``capacity`` or a power of two.
+    ``special_as_text`` takes special tokens' strings in texts for ordinary text, the default is the library's.
     Repeated rows are packed each; a null id is packed under null. Other columns are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -150,4 +153,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "
     groups = max(1, -(-size // group_bytes))
     # the text's hash too: null or repeated ids must not fill one group
     dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", F.xxhash64("text"), F.lit(17)), F.lit(groups)))
-    return dealt.groupBy("group").applyInArrow(_packer(tokenizer, end_id, capacity), PIECE)
+    # as many partitions as groups: what a task reads does not grow with the table
+    dealt = dealt.repartition(min(groups, MOST_PARTITIONS), "group")
+    return dealt.groupBy("group").applyInArrow(_packer(tokenizer, end_id, capacity, special_as_text), PIECE)

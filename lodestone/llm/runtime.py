@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,8 +15,8 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; texts may be long, so batches hold few of them.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch at most (a longer text is a batch of its own), where the session has not set its own.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "512"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
 
 _shipped: set[str] = set()
 
@@ -23,10 +24,12 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session in tests) a temporary folder is made and removed at exit.
+    Only where that is unset in a local session, as in tests, a temporary folder is made and removed at exit; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, made, True)
         found = f"file://{made}"
@@ -48,8 +51,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application, and keep Arrow batches small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Give the executors this package, once for each application; Arrow batches get smaller where the session has Spark's defaults."""
+    for name, (default, small) in ARROW.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, small)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -82,6 +87,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """The table with its columns called ``c0, c1, ...``, so that no name clashes with an operator's own, and those names."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True)).__getitem__
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id as text, the rule by which rows are held out."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

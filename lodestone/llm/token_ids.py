@@ -1,14 +1,18 @@
 """Whole texts to token ids with the tokenizers library, at the speed of its distinct words.
 
 Byte-pair merges never cross a pre-token. A place before a space or line feed that follows a character other than white
-space is always such a border for the pre-tokenizers named in ``cuts_at_space``; so the ids of a text are the ids of its
-segments in a row, and a segment that has been seen needs no second encoding. A tokenizer of another kind gets whole texts.
+space is always such a border for the pre-tokenizers named in ``segments_of``; so the ids of a text are the ids of its
+segments in a row, and a segment that has been seen needs no second encoding. A tokenizer of another kind gets whole texts, and
+so does a text that holds a special token's string where such strings are taken for the token.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -16,82 +20,116 @@ from lodestone.llm.runtime import hold
 
 #: A segment: leading white space, then characters up to the next space or line feed. Rarer white space stays inside.
 SEGMENT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
-#: The same where white space is dropped: words and closing marks come apart too, and spaces and line feeds are no part of a segment.
-BARE_SEGMENT = re.compile(r"[^\W\d_]+(?=[.,;:!? \n])|[.,;:!?]+(?=[ \n])|(?:[^\S \n]\s*\S*|\S+)(?:[^\S \n]\s*\S*)*")
-#: Segments kept by a Python worker, about 120 MB. When there are more, those that came only once go.
-MOST_KEPT = 600_000
+#: The one pre-tokenizer for which words and closing marks come apart too. Fixed value.
+WORDS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Segments for it: spaces and line feeds are no part of one, and a run of letters ends before a mark. Only letters that any version
+#: of Unicode knows, and that normalising leaves a letter (not U+0130, whose lower case ends in a mark), are told from marks here.
+BARE_SEGMENT = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏΑ-ΡΣ-Ωα-ωА-я]+(?=[.,;:!? \n])|[.,;:!?]+(?=[ \n])|(?:[^\S \n]\s*\S*|\S+)(?:[^\S \n]\s*\S*)*")
+#: Segments kept by a Python worker, about 180 MB. When there are more, the older half goes.
+MOST_KEPT = 900_000
 
 _encoders: dict[tuple, SegmentEncoder] = {}
 
 
-def cuts_at_space(spec: dict) -> bool:
-    """Whether the tokenizer's normalizer and pre-tokenizer treat segments independently."""
-    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    steps = (norm.get("normalizers", []) if norm.get("type") == "Sequence" else [norm]) if norm else []
-    for step in steps:
+def _steps(part: dict | None, inner: str) -> list[dict]:
+    return (part.get(inner, []) if part["type"] == "Sequence" else [part]) if part else []
+
+
+def segments_of(spec: dict) -> re.Pattern | None:
+    """The pattern of segments that the tokenizer's normalizer and pre-tokenizer treat independently; None if none is known to be."""
+    for step in _steps(spec.get("normalizer"), "normalizers"):
         if step["type"] not in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") and not (step["type"] == "Replace" and step.get("pattern") == {"Regex": "\\s+"} and step.get("content") == " "):
-            return False
-    if any(not x.get("special") for x in spec.get("added_tokens", [])) or spec.get("post_processor"):
-        return False
-    if pre.get("type") == "ByteLevel":
-        return bool(pre.get("use_regex")) and not pre.get("add_prefix_space")
-    if pre.get("type") == "Sequence" and len(parts := pre["pretokenizers"]) == 2:
-        split, level = parts
-        words = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert")
-        pattern = split.get("pattern", {}).get("Regex", "")
-        spaceless = " " not in pattern and r"\s" not in pattern.replace(r"[^\s", "[^")
-        return bool(words and spaceless) and level.get("type") == "ByteLevel" and not level.get("use_regex") and not level.get("add_prefix_space")
-    return False
+            return None
+    if any(not x.get("special") or any(x.get(k) for k in ("normalized", "single_word", "lstrip", "rstrip")) for x in spec.get("added_tokens", [])) or spec.get("post_processor"):
+        return None
+    parts = _steps(spec.get("pre_tokenizer"), "pretokenizers")
+    level = parts[-1] if parts else {}
+    if level.get("type") != "ByteLevel" or level.get("add_prefix_space"):
+        return None
+    if len(parts) == 1:
+        return SEGMENT if level.get("use_regex") else None
+    split = parts[0]
+    removed = len(parts) == 2 and not level.get("use_regex") and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert")
+    return BARE_SEGMENT if removed and split.get("pattern") == {"Regex": WORDS_AND_MARKS} else None
+
+
+class Places(dict):
+    """The place of each segment in a table; a segment that is asked for first gets the next place."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: list[str] = []
+
+    def __missing__(self, segment: str) -> int:
+        self.names.append(segment)
+        self[segment] = place = len(self.names) - 1
+        return place
+
+    def forget(self, n: int) -> None:
+        """Drop the ``n`` oldest; the others move up."""
+        del self.names[:n]
+        self.clear()
+        self.update(zip(self.names, range(len(self.names)), strict=True))
 
 
 class SegmentEncoder:
-    """Encodes texts to little-endian id bytes; special tokens' strings in a text are ordinary text."""
+    """Encodes texts to little-endian id bytes, as the library does with ``add_special_tokens=False``.
+
+    A special token's string in a text becomes that token, which is the library's default; with ``special_as_text`` it is
+    ordinary text, as texts from outside should be read before training.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.by_segment = cuts_at_space(spec)
-        drops = (spec.get("pre_tokenizer") or {}).get("type") == "Sequence"
-        self.segment = BARE_SEGMENT if drops else SEGMENT
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.segment = segments_of(spec)
+        self.by_segment = self.segment is not None
+        special = [] if special_as_text else [x["content"] for x in spec.get("added_tokens", []) if x["content"]]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         # the tokenizer would do it itself, but fewer segments differ this way
-        self.lower = any(x["type"] == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
+        self.lower = any(x["type"] == "Lowercase" for x in _steps(spec.get("normalizer"), "normalizers"))
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are written as the processor holds them, which must be little-endian")
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.kept: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.kept, self.table = Places(), []
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = self.dtype.char
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_segment:
             return self._library(texts)
+        if self.special is None:
+            return self._by_segments(texts)
+        held = [k for k, t in enumerate(texts) if self.special.search(t)]
+        if not held:
+            return self._by_segments(texts)
+        whole = dict(zip(held, self._library([texts[k] for k in held]), strict=True))
+        parts = iter(self._by_segments([t for k, t in enumerate(texts) if k not in whole]))
+        return [whole[k] if k in whole else next(parts) for k in range(len(texts))]
+
+    def _by_segments(self, texts: list[str]) -> list[bytes]:
         if self.lower:
             texts = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
-        cut = [self.segment.findall(t) for t in texts]
-        every: set[str] = set().union(*cut)
-        new = every.difference(self.kept)
-        if len(self.kept) + len(new) > MOST_KEPT:
-            self.kept = {s: self.kept[s] for s in self.again} if len(self.again) + len(every) <= MOST_KEPT else {}
-            self.again = set()
-            new = every.difference(self.kept)
-        if len(every) > len(new):
-            self.again |= every - new
-        if new:
-            names = list(new)
-            self.kept.update(zip(names, self._library(names), strict=True))
-        return [b"".join(map(self.kept.__getitem__, x)) for x in cut]
-
-
-def encoder(path: str) -> SegmentEncoder:
-    """The worker's encoder for that file; what it has seen stays for later tasks."""
-    import os
+        find, kept, table = self.segment.findall, self.kept, self.table
+        if len(table) > MOST_KEPT:
+            kept.forget(len(table) // 2)
+            del table[: len(table) // 2]
+        places = [list(map(kept.__getitem__, find(t))) for t in texts]
+        table.extend(self._library(kept.names[len(table) :]))
+        return [b"".join(map(table.__getitem__, p)) for p in places]
+
 
+def encoder(path: str, special_as_text: bool = False) -> SegmentEncoder:
+    """The worker's encoder for that file; what it has seen stays for later tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task's own core
     hold("token_ids", _encoders.clear)
-    if (path,) not in _encoders:
-        _encoders[(path,)] = SegmentEncoder(path)
-    return _encoders[(path,)]
+    key = (path, special_as_text)
+    if key not in _encoders:
+        _encoders[key] = SegmentEncoder(path, special_as_text)
+    return _encoders[key]

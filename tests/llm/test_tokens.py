@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from lodestone.llm import packing, sentencepiece_backend, token_files
 
-ROWS = [(5, "Hello, world. Again, world."), (1, None), (3, ""), (None, "no id"), (3, "x"), (9, "word " * 30_000), (4, "日本語 and é"), (7, "<|endoftext|>")]
+ROWS = [(5, "Hello, world. Again, world."), (1, None), (3, ""), (None, "no id"), (3, "x"), (9, "word " * 30_000), (4, "日本語 and é"), (7, "<|endoftext|>"), (8, "a <|endoftext|> b İ. <s> </s>")]
 KINDS = "doc_id long, text string, start string, shard int"
 
 
@@ -22,15 +22,15 @@ def frame(spark, rows):
 
 def whole(name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text, end: np.array(t.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
 def test_token_files(spark):
     ids = whole("byte_bpe_50k.json")
-    uri = token_files.write_token_files(frame(spark, ROWS), public_tokenizers.path("byte_bpe_50k.json"), 0)
+    uri = token_files.write_token_files(docs := frame(spark, ROWS), public_tokenizers.path("byte_bpe_50k.json"), 0)
     got = [tuple(r) for r in token_files.read_token_files(spark, uri).orderBy("start").collect()]
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    place = {(r.doc_id, r.text): r.place for r in docs.selectExpr("doc_id", "text", "xxhash64(text) as place").collect()}
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, place[r]))
     want, at = [], 0
     for i, t in order:
         x = ids(t, 0)
@@ -39,11 +39,28 @@ def test_token_files(spark):
     assert got == want
     shards = [s for s in token_files.read_manifest(uri)["shards"] if s["docs"]]
     shard = token_files.TokenShard(uri, shards[0]["name"], "<u2")
-    assert isinstance(shard.ids, np.memmap) and shard.document(0).tolist() == ids(order[0][1], 0).tolist()
+    assert isinstance(shard.ids.mapped, np.memmap) and shard.document(0).tolist() == ids(order[0][1], 0).tolist()
+    far = token_files.TokenShard(uri, shards[0]["name"], "<u2")
+    for kind in ("ids", "offsets", "docs"):  # as in a store without memory maps
+        values = getattr(far, kind)
+        values.file, values.mapped = token_files._open(uri)[0].open_input_file(str(values.mapped.filename)), None
+    for low, high in ((0, len(shard)), (2, 5)):
+        assert [d.tolist() for d in far.documents(low, high)[1]] == [d.tolist() for d in shard.documents(low, high)[1]]
+        assert [x.tolist() for x in far.names(low, high)] == [x.tolist() for x in shard.names(low, high)]
     empty = token_files.write_token_files(frame(spark, []), public_tokenizers.path("byte_bpe_50k.json"), 0)
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
+def test_many_shards(spark, monkeypatch):
+    """Shards follow the bytes; an id that comes often is spread over several."""
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 400)
+    rows = [(7, f"text number {i}") for i in range(200)] + [(i, "x") for i in range(20)] + [(None, f"n {i}") for i in range(50)]
+    uri = token_files.write_token_files(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json"), 0)
+    got = token_files.read_token_files(spark, uri).orderBy("start").collect()
+    assert len([s for s in token_files.read_manifest(uri)["shards"] if s["docs"]]) > 4
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i)) and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+
+
 def held(lengths, capacity):
     pieces = packing.pack_lengths(lengths, capacity)
     at = dict.fromkeys(range(len(lengths)), 0)
@@ -119,6 +136,8 @@ def pair():
 @given(st.text(st.sampled_from(list("aebcté  \n\t.,'日😀▁<>0123xyz")), max_size=30))
 def test_parity(pair, text):
     code, own = pair
+    ids, same = code.encode_bytes([text])
+    assert same[0] == (code.whole.decode(np.frombuffer(ids[0], np.uint32).tolist(), skip_special_tokens=False) == text)
     assert code.by_segment and code.encode([text])[0].tolist() == own.encode(text)
     assert code.whole.encode(text).ids == own.encode(text) or "▁" in text
 
