@@ -3,22 +3,24 @@
 For each language a tree of byte contexts of up to ``ORDER`` bytes is counted on a bounded sample of labelled texts and then
 frozen. The code length of a byte is that of the longest context that the tree knows, plus the cost of the escapes on the
 way to it (method C: a context with n symbols, d of them distinct, escapes with d / (n + d)); below the empty context
-every byte costs 8 bits. A text costs the sum over its words; the language with the shortest code wins.
+every byte costs 8 bits. A text, in lower case and in UTF-8, costs the sum over all its bytes, spaces, digits and marks included, each
+in the context of those before it; the language with the shortest code wins.
 
-Words are coded on their own, between spaces, so a word's code lengths do not depend on its neighbours and are kept by the
-worker: the trees are only walked for words that it has not seen.
+A tree is a sorted table of grams; a worker lays it out for hashing and looks up all bytes of many texts at once. Trees of
+different languages are apart, so tables grow with the number of languages.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.runtime import by_bytes, crc_of_id, hold, ship
 
@@ -26,156 +28,200 @@ ORDER = 4
 #: Bytes of text learned per language; every language is learned. Beyond 64 languages each gets an equal share of what 64 get, but
 #: no less than ``LEAST_BYTES``. Long texts are learned in windows spread over them, where a language has too few short ones.
 SAMPLE_BYTES, TOTAL_BYTES, LEAST_BYTES, WINDOWS = 1_500_000, 96_000_000, 50_000, 16
-#: Languages whose statistics share a table, so that tables grow with the number of languages, not with its square.
-TOGETHER = 16
-#: Words kept by a Python worker.
-MOST_KEPT = 400_000
+#: Bytes that are looked up at once.
+BLOCK = 1 << 18
 #: Posterior odds are softened by this factor: neighbouring bytes are not independent evidence.
 TEMPERATURE = 0.2
 #: Bits a byte above that quantile of a language's texts, as trees see them that have not learned them, at which a text counts as no
-#: known language. Below ``FEW`` texts each is measured once, in ``FOLDS`` turns; below ``FOLDS`` texts nothing can be measured.
+#: known language. Texts are measured in two turns, below ``FEW`` texts in ``FOLDS``; below ``FOLDS`` texts nothing can be measured.
 SLACK_BITS, QUANTILE, FOLDS, FEW = 1.0, 0.95, 5, 100
+#: Words below which a text is too short to measure a ceiling on.
+LEAST_WORDS = 5
+
+#: What a text stands behind: so many line feeds, which are context and cost nothing.
+FRONT = b"\n" * ORDER
+SHIFT = np.uint64(8)
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of Unicode's category L is in it."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
+class Bytes:
+    """The bytes of texts in a row, each behind its ``FRONT``."""
+
+    def __init__(self, texts: list[str]):
+        coded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+        self.sizes = np.array([len(c) for c in coded], np.int64)
+        self.data = np.frombuffer(FRONT + FRONT.join(coded), np.uint8)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes + ORDER)[:-1]]).astype(np.int64) + ORDER if coded else np.zeros(0, np.int64)
+
+    def coded(self) -> np.ndarray:
+        """Whether a byte is one of a text's."""
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        np.add.at(edge, self.starts, 1)
+        np.add.at(edge, self.starts + self.sizes, -1)
+        return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+    def grams(self, low: int, high: int) -> np.ndarray:
+        """The last ``ORDER`` + 1 bytes at each place, the place's own byte lowest."""
+        out = np.zeros(high - low, np.uint64)
+        for back in range(ORDER, -1, -1):
+            out <<= SHIFT
+            begin = max(0, back - low)
+            out[begin:] |= self.data[low + begin - back : high - back]
+        return out
+
 
-LETTER = re.compile(r"[^\W\d_]")
-#: ASCII: letters in lower case, all else a space; other bytes stay.
-FOLD = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
+def gram_key(grams: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` bytes, told apart from shorter and longer grams."""
+    return (grams & np.uint64((1 << 8 * n) - 1)) | np.uint64((n + 1) << 56)
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    x = keys * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass
-class Trees:
-    """Frozen statistics: ``codes`` has the row of ``bits`` (a column per language) of each known gram, ``escapes`` that of each context."""
+class Tree:
+    """Frozen statistics of a language: of each gram the bits of its last byte in the context of those before, and of the escape
+    from the gram as a context (0 where it is none)."""
 
-    languages: list[str]
-    codes: dict[bytes, int]
+    keys: np.ndarray
     bits: np.ndarray
-    escapes: dict[bytes, int]
-    escape_bits: np.ndarray
-    order: int = ORDER
-
-    def word_bits(self, words: list[bytes]) -> np.ndarray:
-        """Code lengths of words, a row each: the word's bytes and the space after it, in the context of the space before."""
-        code, esc, n = self.codes.get, self.escapes.get, self.order
-        rows, ends, erows, eends = [], [], [], []
-        for w in words:
-            b = b" " + w + b" "
-            for i in range(1, len(b)):
-                g = b[i - n if i > n else 0 : i + 1]
-                k = code(g)
-                while k is None:
-                    if (e := esc(g[:-1])) is not None:
-                        erows.append(e)
-                    g = g[1:]
-                    k = code(g)
-                rows.append(k)
-            ends.append(len(rows))
-            eends.append(len(erows))
-        total = np.zeros((len(rows) + 1, len(self.languages)))
-        np.cumsum(self.bits[rows], axis=0, out=total[1:])
-        extra = np.zeros((len(erows) + 1, len(self.languages)))
-        if erows:
-            np.cumsum(self.escape_bits[erows], axis=0, out=extra[1:])
-        both = total[ends] + extra[eends]
-        both[1:] -= both[:-1].copy()
-        return both
+    escapes: np.ndarray
+
+    def laid_out(self) -> Table:
+        return Table(self)
+
+
+class Table:
+    """A tree laid out for hashing, a third full at most."""
+
+    def __init__(self, tree: Tree):
+        self.size = max(8, int(3 * len(tree.keys) + 1).bit_length())
+        self.mask = (1 << self.size) - 1
+        self.keys = np.zeros(1 << self.size, np.uint64)  # no key is 0
+        self.values = np.zeros((1 << self.size, 2), np.float32)
+        at, left = slots(tree.keys, self.size), np.arange(len(tree.keys))
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = tree.keys[left[free]]  # of several for one place the last stays
+            placed = self.keys[at] == tree.keys[left]
+            self.values[at[placed], 0], self.values[at[placed], 1] = tree.bits[left[placed]], tree.escapes[left[placed]]
+            at, left = (at[~placed] + 1) & self.mask, left[~placed]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not in the table."""
+        at = slots(keys, self.size)
+        there = self.keys[at]
+        open_ = np.flatnonzero((there != keys) & (there != 0))
+        missing = there == 0
+        while len(open_):
+            at[open_] = step = (at[open_] + 1) & self.mask
+            there = self.keys[step]
+            missing[open_[there == 0]] = True
+            open_ = open_[(there != keys[open_]) & (there != 0)]
+        at[missing] = -1
+        return at
+
+    def code_bits(self, grams: np.ndarray) -> np.ndarray:
+        """The code length of each place's byte."""
+        out = np.zeros(len(grams), np.float32)
+        left = np.arange(len(grams))
+        for n in range(ORDER + 1, 0, -1):
+            own = grams[left]
+            at = self.find(gram_key(own, n))
+            known = at >= 0
+            known[known] = self.values[at[known], 0] > 0
+            out[left[known]] += self.values[at[known], 0]
+            left, own = left[~known], own[~known]
+            if not len(left):
+                return out
+            context = self.find(gram_key(own >> SHIFT, n - 1))
+            seen = context >= 0
+            out[left[seen]] += self.values[context[seen], 1]
+        out[left] += 8
+        return out
 
 
 @dataclass
 class PPMModel:
-    """The trees of all languages, some languages together, and each language's ceiling in bits a byte."""
+    """The trees of all languages, and each language's ceiling in bits a byte."""
 
     languages: list[str]
-    parts: list[Trees]
+    trees: list[Tree]
     ceiling: np.ndarray
 
-    def word_bits(self, words: list[bytes]) -> np.ndarray:
-        return np.hstack([np.zeros((len(words), 0)), *(p.word_bits(words) for p in self.parts)])
 
-
-def train_ppm(samples: dict[str, list[str]], order: int = ORDER) -> PPMModel:
+def text_bits(tables: list[Table], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code lengths of texts, a column for each table, and the texts' bytes."""
+    rows = Bytes(texts)
+    total = np.zeros((len(texts), len(tables)))
+    places = np.flatnonzero(rows.coded())
+    ends = np.concatenate([[0], np.cumsum(rows.sizes)])
+    for low in range(0, len(places), BLOCK):
+        some = places[low : low + BLOCK]
+        grams = rows.grams(int(some[0]), int(some[-1]) + 1)[some - some[0]]
+        first, last = np.searchsorted(ends, [low, low + len(some) - 1], "right") - 1
+        cuts = np.maximum(ends[first : last + 1] - low, 0)
+        filled = rows.sizes[first : last + 1] > 0  # an empty text has no place
+        for j, table in enumerate(tables):
+            total[first : last + 1, j][filled] += np.add.reduceat(table.code_bits(grams), cuts[filled], dtype=np.float64)
+    return total, rows.sizes
+
+
+def count_tree(texts: list[str]) -> Tree:
+    """Count the contexts of a language's texts and freeze them."""
+    rows = Bytes(texts)
+    grams = rows.grams(0, len(rows.data))[rows.coded()]
+    keys, bits, contexts, escapes = [], [], [], []
+    for n in range(1, ORDER + 2):
+        own, counts = np.unique(gram_key(grams, n), return_counts=True)
+        if not len(own):
+            break
+        above = gram_key(own >> SHIFT, n - 1)
+        begins = np.flatnonzero(np.concatenate([[True], above[1:] != above[:-1]]))
+        distinct = np.diff(np.concatenate([begins, [len(own)]]))
+        sums = np.add.reduceat(counts, begins) + distinct
+        keys.append(own)
+        bits.append(np.log2(np.repeat(sums, distinct) / counts))
+        contexts.append(above[begins])
+        escapes.append(np.log2(sums / distinct))
+    if not keys:
+        return Tree(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32))
+    names = np.unique(np.concatenate([*keys, *contexts]))
+    code, escape = np.zeros(len(names), np.float32), np.zeros(len(names), np.float32)
+    code[np.searchsorted(names, np.concatenate(keys))] = np.concatenate(bits)
+    escape[np.searchsorted(names, np.concatenate(contexts))] = np.concatenate(escapes)
+    return Tree(names, code, escape)
+
+
+def train_ppm(samples: dict[str, list[str]]) -> PPMModel:
     """The trees and ceilings of all languages.
 
-    A language's ceiling stands above a quantile of texts that the trees measuring them have not seen, so that single bad rows do not
-    move it. Of many texts every fifth is kept for that; of few ones the trees learn all after the measurement.
+    A language's ceiling stands above a quantile of its texts, each measured by a tree that has not seen it, so that single bad rows
+    do not move it. The texts above it are not learned, lest the tree should know them by heart.
     """
-    languages, parts, ceiling = sorted(samples), [], []
-    for low in range(0, len(languages), TOGETHER):
-        own = languages[low : low + TOGETHER]
-        judged = {x: [k for k, t in enumerate(samples[x]) if len(words_of(t)) >= 5] for x in own}
-        learned = {}
-        for x in own:
-            unseen = set(judged[x][::FOLDS]) if len(judged[x]) >= FEW else ()
-            learned[x] = [t for k, t in enumerate(samples[x]) if k not in unseen]
-        parts.append(count_trees(learned, order))
-        for j, x in enumerate(own):
-            rates: list[float] = []
-            if len(judged[x]) >= FEW:
-                rates = byte_rates(parts[-1], j, [samples[x][k] for k in judged[x][::FOLDS]])
-            elif len(judged[x]) >= FOLDS:
-                for f in range(FOLDS):
-                    unseen = set(judged[x][f::FOLDS])
-                    trees = count_trees({x: [t for k, t in enumerate(samples[x]) if k not in unseen]}, order)
-                    rates += byte_rates(trees, 0, [samples[x][k] for k in sorted(unseen)])
-            ceiling.append(float(np.quantile(rates, QUANTILE, method="lower")) + SLACK_BITS if rates else 8.0 + SLACK_BITS)
-    return PPMModel(languages, parts, np.array(ceiling))
-
-
-def byte_rates(trees: Trees, language: int, texts: list[str]) -> list[float]:
-    """Bits a byte of each text in the trees of one language."""
-    cut = [words_of(t) for t in texts]
-    words = sorted(set().union(*cut))
-    bits = dict(zip(words, trees.word_bits(words)[:, language].tolist(), strict=True))
-    return [sum(map(bits.__getitem__, c)) / sum(len(w) + 1 for w in c) for c in cut]
-
-
-def count_trees(samples: dict[str, list[str]], order: int = ORDER) -> Trees:
-    """Count the context trees of each language and freeze them."""
-    languages = sorted(samples)
-    trees: list[dict[bytes, Counter]] = []
-    for language in languages:
-        counts: Counter = Counter()
-        for text in samples[language]:
-            counts.update(words_of(text))
-        tree: dict[bytes, Counter] = defaultdict(Counter)
-        for w, n in counts.items():
-            b = b" " + w + b" "
-            for i in range(1, len(b)):
-                for k in range(min(i, order) + 1):
-                    tree[b[i - k : i]][b[i]] += n
-        trees.append(tree)
-    grams = {bytes([s]) for s in range(256)}
-    contexts = set()
-    for tree in trees:
-        for c, after in tree.items():
-            contexts.add(c)
-            grams.update(c + bytes([s]) for s in after)
-    totals = [{c: (sum(a.values()), len(a)) for c, a in tree.items()} for tree in trees]
-    codes = {g: i for i, g in enumerate(sorted(grams, key=lambda g: (len(g), g)))}
-    bits = np.zeros((len(codes), len(languages)))
-    for g, i in codes.items():
-        c, s = g[:-1], g[-1]
-        for j, tree in enumerate(trees):
-            n = tree[c][s] if c in tree else 0
-            if n:
-                total, distinct = totals[j][c]
-                bits[i, j] = math.log2((total + distinct) / n)
-            else:
-                below = bits[codes[g[1:]], j] if c else 8.0
-                if c in tree:
-                    total, distinct = totals[j][c]
-                    below += math.log2((total + distinct) / distinct)
-                bits[i, j] = below
-    escapes = {c: i for i, c in enumerate(sorted(contexts))}
-    escape_bits = np.zeros((len(escapes), len(languages)))
-    for c, i in escapes.items():
-        for j in range(len(languages)):
-            if c in totals[j]:
-                total, distinct = totals[j][c]
-                escape_bits[i, j] = math.log2((total + distinct) / distinct)
-    return Trees(languages, codes, bits, escapes, escape_bits, order)
+    languages, trees, ceiling = sorted(samples), [], []
+    for x in languages:
+        texts = samples[x]
+        judged = [k for k, t in enumerate(texts) if len(t.split()) >= LEAST_WORDS]
+        folds = 2 if len(judged) >= FEW else FOLDS if len(judged) >= FOLDS else 0
+        rate: dict[int, float] = {}
+        for f in range(folds):
+            unseen = judged[f::folds]
+            hidden = set(unseen)
+            tree = count_tree([t for k, t in enumerate(texts) if k not in hidden])
+            bits, sizes = text_bits([tree.laid_out()], [texts[k] for k in unseen])
+            rate.update(zip(unseen, (bits[:, 0] / sizes).tolist(), strict=True))
+        ceiling.append(float(np.quantile([*rate.values()], QUANTILE, method="lower")) + SLACK_BITS if rate else 8.0 + SLACK_BITS)
+        trees.append(count_tree([t for k, t in enumerate(texts) if rate.get(k, 0.0) <= ceiling[-1]]))
+    return PPMModel(languages, trees, np.array(ceiling))
 
 
 def learning_sample(docs: DataFrame, learn, doc_id: str, text: str, lang: str) -> dict[str, list[str]]:
@@ -216,45 +262,28 @@ def learning_sample(docs: DataFrame, learn, doc_id: str, text: str, lang: str) -
                 break
             kept.append(t)
             got += len(t.encode("utf-8", "surrogatepass"))
-        if any(words_of(t) for t in kept):
-            out[language] = kept
+        out[language] = kept
     return out
 
 
 class Scorer:
-    """Scores texts under a model; remembers words."""
+    """Scores texts under a model."""
 
     def __init__(self, model: PPMModel):
-        self.model, self.kept, self.rows, self.n = model, {}, np.zeros((1024, len(model.languages))), 0
-
-    def learn_words(self, new: list[bytes]) -> None:
-        bits = self.model.word_bits(new)
-        while self.n + len(new) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[self.n : self.n + len(new)] = bits
-        self.kept.update(zip(new, range(self.n, self.n + len(new)), strict=True))
-        self.n += len(new)
+        self.model, self.tables = model, [t.laid_out() for t in model.trees]
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         """``(language or und, score, bits a byte, known)`` of each text."""
-        cut = [words_of(t) if t and LETTER.search(t) else None for t in texts]
-        every: set[bytes] = set().union(*(c for c in cut if c))
-        new = every.difference(self.kept)
-        if len(self.kept) + len(new) > MOST_KEPT // max(1, len(self.model.languages) // 64):
-            self.kept, self.n = {}, 0
-            new = every
-        if new:
-            self.learn_words(list(new))
-        out, languages = [], self.model.languages
-        for c in cut:
-            if not c or not languages:
-                out.append(("und", 0.0, 0.0, False))
-                continue
-            total = self.rows[np.fromiter(map(self.kept.__getitem__, c), np.int64, len(c))].sum(axis=0)
-            best = int(np.argmin(total))
-            odds = np.exp2(np.maximum(-(total - total[best]) * TEMPERATURE, -1000))
-            rate = float(total[best] / sum(len(w) + 1 for w in c))
-            out.append((languages[best], float(1 / odds.sum()), rate, bool(rate <= self.model.ceiling[best])))
+        out: list[tuple[str, float, float, bool]] = [("und", 0.0, 0.0, False)] * len(texts)
+        languages = self.model.languages
+        own = [k for k, t in enumerate(texts) if has_letter(t)] if languages else []
+        if own:
+            bits, sizes = text_bits(self.tables, [texts[k] for k in own])
+            for k, total, n in zip(own, bits, sizes.tolist(), strict=True):
+                best = int(np.argmin(total))
+                odds = np.exp2(np.maximum(-(total - total[best]) * TEMPERATURE, -1000))
+                rate = float(total[best] / n)
+                out[k] = (languages[best], float(1 / odds.sum()), rate, bool(rate <= self.model.ceiling[best]))
         return out
 
 
@@ -270,16 +299,12 @@ def identify_language(docs: DataFrame, learn=None, doc_id: str = "doc_id", text:
     for ``und`` and for texts that cost far more bits a byte than nearly all texts of the language that were kept from its trees. Ties go to the first
     language in order. Repeated rows are scored each; an empty table gives an empty one. ``carry`` columns keep their names.
     """
-    import uuid
-
     spark = docs.sparkSession
     ship(spark)
     model = train_ppm(learning_sample(docs, F.lit(True) if learn is None else learn, doc_id, text, lang))
-    sent, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # grams of the bounded sample: some MB a language
-    fields = [docs.schema[c] for c in carry]
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*fields, *T._parse_datatype_string(PREDICTED).fields])
+    sent, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # 16 bytes for each gram of the bounded sample: 1 to 4 MB a language
+    schema = T.StructType([*(docs.schema[c] for c in carry), *T._parse_datatype_string(PREDICTED).fields])
+    at = carry.index(text) if text in carry else len(carry)
 
     def run(batches):
         import pyarrow as pa
@@ -290,15 +315,14 @@ def identify_language(docs: DataFrame, learn=None, doc_id: str = "doc_id", text:
             _scorers[tag] = Scorer(sent.value)
         scorer = _scorers[tag]
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
             found: list = []
-            for some in by_bytes([t if t is not None else "" for t in texts]):
+            for some in by_bytes(t or "" for t in batch.column(at).to_pylist()):
                 found.extend(scorer.score(some))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in range(len(carry))]
             columns += [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*[F.col(c) for c in carry], F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
