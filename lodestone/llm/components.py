@@ -7,6 +7,20 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.runtime import save
 
+#: A key with more rows than this, and than the table's rows by ``MOST_HOT`` / 2, is hot; so at most ``MOST_HOT`` keys are.
+HOT_ROWS, MOST_HOT = 256, 50_000
+
+
+def join_least(rows: DataFrame, least: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``least``, which has one row for each key and the number ``n`` of its rows; ``total`` rows at most.
+
+    Hot keys are few, so what is said of them is broadcast and their rows stay where they are; the others meet in a shuffle.
+    """
+    most = max(HOT_ROWS, 2 * total // MOST_HOT)
+    hot = F.broadcast(least.where(F.col("n") > most).drop("n"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(least.where(F.col("n") <= most).drop("n"), key)
+    return rows.join(hot, key).unionByName(cold)
+
 
 def _local_forest(batches):
     """The links of one partition, thinned to a spanning forest (components stay the same)."""
@@ -36,10 +50,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for each node that is linked and isn't its component's smallest; that one is the component's name.
 
     ``edges`` has two bigint columns. Loops, repeated links, either direction and nulls are fine (a null links nothing);
-    an empty table gives an empty one. Rounds are joins and partial aggregates on node ids: no component is ever gathered
-    in a task, and each round's table is written to the shared folder.
+    an empty table gives an empty one. Rounds are joins and partial aggregates on node ids: no component, and no node's links, are ever
+    gathered in a task, and each round's table is written to the shared folder.
     """
     a, b = edges.columns[:2]
+    # the links of a partition are thinned first; what is left has as many rows as nodes at most in each
     links = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u != v")
     current = save(links.mapInArrow(_local_forest, "u long, v long").distinct(), "links")
     mark = None
@@ -49,10 +64,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         mark = tuple(found)
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = join_least(both, least, "u", 2 * found[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_least(large, least, "u", 2 * found[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         current = save(small.distinct(), "links")
     else:
         raise RuntimeError("components did not settle")
