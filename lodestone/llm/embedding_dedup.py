@@ -3,7 +3,8 @@
 1. Equal vectors become one class (a partial aggregate), so a vector that a third of the rows share is compared once.
 2. A PCA basis is fitted on a bounded sample. It is a rotation: it orders dimensions, and any basis gives the same links.
 3. A k-d tree over the sample's leading dimensions cuts the space into tiles of bounded size; oversized ones are split by hash.
-   Two tiles whose boxes are too far apart to hold a link are never compared.
+   Two tiles whose boxes are too far apart to hold a link are never compared; which are near is a join of the boxes on cells of the
+   two leading dimensions, so neither tiles nor their pairs are ever gathered in the driver.
 4. Of the remaining pairs of tiles, dot products grow by blocks of leading dimensions; after each block a pair of vectors is
    dropped when even the product of the remaining norms cannot lift its cosine to the threshold.
 5. A task returns, for each vector, a count of links and a spanning forest, not the pairs.
@@ -11,19 +12,22 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.components import components
+from lodestone.llm.components import components, join_least
 from lodestone.llm.runtime import save, ship
 
 THRESHOLD = 0.95
 #: Vectors that the basis and the tree are fitted on, at most.
 SAMPLE = 20_000
-#: Classes in a tile, on average, and dimensions that the tree and the boxes use.
-TILE, BOX_DIMS = 2048, 8
-#: Rounding room: pairs this close to the threshold are decided by the dot product of the vectors as they came.
+#: Classes in a tile, on average, leaves of the tree at most (beyond that its leaves are cut by hash), and dimensions that the tree and
+#: the boxes use. Larger tiles are sent less often, and two of them, 8 MB of 64 dimensions, fit a task many times over.
+TILE, MOST_LEAVES, BOX_DIMS = 8192, 4096, 8
+#: Rounding room: pairs this close to the threshold are decided by the dot product of the vectors themselves, scaled to unit length.
 ROOM = 1e-9
 
 
@@ -120,8 +124,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     Two vectors are linked when their cosine in double precision is at least ``threshold``. ``n_links`` counts the other vectors
     linked directly, copies included; ``component_id`` is the smallest ``vec_id`` reachable by links, itself included; ``kept`` says
     whether it is that one. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
-    vectors of another length than the commonest. Repeated rows of an id are copies of each other. A null id is not returned
-    as a component's name; alone it has a null ``component_id``. Other columns are not read; an empty table gives an empty one.
+    vectors of another length than the commonest. Repeated rows of an id are rows of their own, each with the links of its vector. A
+    row without id links with nothing and has a null ``component_id``. Other columns are not read; an empty table gives an empty one.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -135,50 +139,50 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     common = rows.where(e.isNotNull()).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     dims = common[0]["n"] if common else 0
     own = save(rows.withColumn("embedding", F.when(F.size("embedding") == dims, e)), "vectors")
-    # identical vectors are one class; its name is its smallest id
-    classes = save(own.where(e.isNotNull() & F.col("vec_id").isNotNull()).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")), "classes")
+    # identical vectors are one class; it has a number of its own, as an id may come with several vectors
+    classes = own.where(e.isNotNull() & F.col("vec_id").isNotNull()).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
+    classes = save(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     share = min(1.0, 1.2 * SAMPLE / max(1, n))
-    drawn = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share) + 1)).select("embedding").limit(SAMPLE).collect() if n else []
-    projection = Projection(unit_rows(np.array([r[0] for r in drawn], float)) if drawn else np.zeros((0, dims)), -(-n // tile))
-    sent = spark.sparkContext.broadcast(projection)  # dims squared, and a number for each tile
+    drawn = classes.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share) + 1)).select("embedding").limit(SAMPLE).collect() if n else []
+    projection = Projection(unit_rows(np.array([r[0] for r in drawn], float)) if drawn else np.zeros((0, dims)), min(MOST_LEAVES, -(-n // tile)))
+    sent = spark.sparkContext.broadcast(projection)  # dims squared, and a number for each of at most MOST_LEAVES leaves
 
     def place(batches):
         import pyarrow as pa
 
         for batch in batches:
             flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            leaf = sent.value.leaf(unit_rows(flat) @ sent.value.basis) if batch.num_rows else np.zeros(0, np.int64)
-            lead = (unit_rows(flat) @ sent.value.basis)[:, :BOX_DIMS] if batch.num_rows else np.zeros((0, BOX_DIMS))
+            turned = unit_rows(flat) @ sent.value.basis if batch.num_rows else np.zeros((0, BOX_DIMS))
+            leaf = sent.value.leaf(turned) if batch.num_rows else np.zeros(0, np.int64)
             packed = pa.array([x.tobytes() for x in flat], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), packed, pa.array(leaf), pa.array(lead.tolist(), pa.list_(pa.float64()))], names=["rep", "size", "vector", "leaf", "lead"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), packed, pa.array(leaf), pa.array(turned[:, :BOX_DIMS].tolist(), pa.list_(pa.float64()))], names=["class", "size", "vector", "leaf", "lead"])
 
-    placed = save(classes.select("embedding", "rep", "size").mapInArrow(place, "rep long, size long, vector binary, leaf long, lead array<double>"), "placed")
+    placed = save(classes.select("embedding", "class", "size").mapInArrow(place, "class long, size long, vector binary, leaf long, lead array<double>"), "placed")
     # dense leaves are cut by hash into tiles of about the same size
     counts = placed.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(1.5 * tile)).cast("long").alias("cuts"))
-    tiled = placed.join(F.broadcast(counts), "leaf").withColumn("tile", F.concat_ws("-", "leaf", F.pmod(F.xxhash64("rep"), F.col("cuts"))))
-    box = [f(F.element_at("lead", k + 1)).alias(f"{f.__name__}{k}") for k in range(min(BOX_DIMS, dims)) for f in (F.min, F.max)]
-    tiles = sorted(tiled.groupBy("tile").agg(*box).collect()) if n else []  # a row for each tile of vectors
-    pairs: list[tuple[str, list[int]]] = []
-    if tiles:
-        low, high = (np.array([[r[f"{f}{k}"] for k in range(min(BOX_DIMS, dims))] for r in tiles]) for f in ("min", "max"))
-        apart = 2 * (1 - threshold) + 1e-7
-        found: dict[int, list[int]] = {k: [] for k in range(len(tiles))}
-        number = 0
-        for k in range(len(tiles)):
-            gap = np.maximum(0, np.maximum(low[k] - high[k:], low[k:] - high[k]))
-            for m in np.flatnonzero((gap**2).sum(axis=1) <= apart) + k:
-                found[k].append(2 * number)
-                if m != k:
-                    found[int(m)].append(2 * number + 1)
-                number += 1
-        pairs = [(tiles[k]["tile"], v) for k, v in found.items()]
-    meets = spark.createDataFrame(pairs, "tile string, pairs array<long>")
+    tiled = placed.join(F.broadcast(counts), "leaf").withColumn("tile", F.struct("leaf", F.pmod(F.xxhash64("class"), F.col("cuts")).alias("part")))
+    lead = min(BOX_DIMS, dims)
+    box = [f(F.element_at("lead", k + 1)).alias(f"{name}{k}") for k in range(lead) for f, name in ((F.min, "low"), (F.max, "high"))]
+    tiles = save(tiled.groupBy("tile").agg(F.count("*").alias("n"), *box), "tiles")  # a row for each tile of vectors
+    # two unit vectors with that cosine are no further apart, so neither are their boxes
+    apart = math.sqrt(2 * (1 - threshold) + 1e-7)
+    grid = [f"cell{k}" for k in range(min(2, lead))]
+    cells = lambda low, high: F.explode(F.sequence(F.floor(low / apart), F.floor(high / apart)))
+    one, two = tiles, tiles.toDF(*[f"{c}_" for c in tiles.columns])
+    for k, cell in enumerate(grid):
+        one = one.withColumn(cell, cells(F.col(f"low{k}"), F.col(f"high{k}")))
+        two = two.withColumn(cell, cells(F.col(f"low{k}_") - apart, F.col(f"high{k}_") + apart))
+    gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"low{k}_") - F.col(f"high{k}"), F.col(f"low{k}") - F.col(f"high{k}_")), 2) for k in range(lead)), F.lit(0.0))
+    near = one.join(two, grid or F.lit(False)).where((F.col("tile") <= F.col("tile_")) & (gap <= apart * apart))
+    near = save(near.select(F.col("tile").alias("a"), F.col("tile_").alias("b")).distinct().withColumn("pair", F.monotonically_increasing_id()), "near")
+    meets = near.select(F.col("a").alias("tile"), "pair", F.lit(0).alias("side")).unionByName(near.where("a != b").select(F.col("b").alias("tile"), "pair", F.lit(1).alias("side")))
+    meets = meets.groupBy("tile").agg(F.collect_list(F.struct("pair", "side")).alias("meets"), F.count("*").alias("n"))  # the tiles near one, not vectors
 
     def compare(key, group):
         import pyarrow as pa
 
-        rep, size = group.column("rep").to_numpy(), group.column("size").to_numpy()
+        rep, size = group.column("class").to_numpy(), group.column("size").to_numpy()
         x = unit_rows(np.frombuffer(b"".join(group.column("vector").to_pylist()), float).reshape(len(rep), -1))
         side = group.column("side").to_numpy() == 1
         both = side.any()
@@ -194,15 +198,18 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         rank = np.argsort(order, kind="stable")
         label = order[forest(len(rep), rank[i], rank[j])][rank]
         hit = np.flatnonzero(links > 0)
-        return pa.table([pa.array(rep[hit]), pa.array(links[hit].astype(np.int64)), pa.array(rep[label[hit]])], names=["rep", "links", "least"])
-
-    met = tiled.join(F.broadcast(meets), "tile").select("rep", "size", "vector", F.explode("pairs").alias("code"))
-    met = met.select("rep", "size", "vector", F.floor(F.col("code") / 2).alias("pair"), (F.col("code") % 2).alias("side"))
-    found = save(met.groupBy("pair").applyInArrow(compare, "rep long, links long, least long"), "found")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    joined = components(found.select("rep", "least"))
-    verdict = classes.select("embedding", "rep", "size").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    verdict = verdict.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        return pa.table([pa.array(rep[hit]), pa.array(links[hit].astype(np.int64)), pa.array(rep[label[hit]])], names=["class", "links", "least"])
+
+    sides = tiles.select("tile", "n").join(meets.drop("n"), "tile").select("tile", "n", "meets")
+    met = join_least(tiled.select("tile", "class", "size", "vector"), sides, "tile", n).select("class", "size", "vector", F.explode("meets").alias("meet"))
+    met = met.select("class", "size", "vector", "meet.pair", "meet.side")
+    found = save(met.groupBy("pair").applyInArrow(compare, "class long, links long, least long"), "found")
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    joined = components(found.select("class", "least")).withColumnRenamed("node", "class")
+    verdict = classes.join(links, "class", "left").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    # a component is called by its smallest id
+    named = verdict.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    verdict = join_least(verdict, named, "component", n).select("embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     out = own.withColumn("key", F.when(F.col("vec_id").isNotNull(), e)).join(verdict.withColumnRenamed("embedding", "key"), "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
