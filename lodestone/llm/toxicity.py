@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.runtime import by_bytes, crc_of_id, hold, ship
+from lodestone.llm.runtime import by_bytes, crc_of_id, hold, save, ship
 
 #: Labelled texts of each kind that are learned from, at most, the characters of each kind and of a text: the sample's bounds.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS, LONGEST_LEARNED = 1500, 4500, 8_000_000, 40_000
@@ -126,7 +126,7 @@ class WindowScorer:
             self.kept = {}
         kept = self.kept
         for w in every.difference(kept):
-            kept[w] = self.evidence(w) if len(w) > 2 else 0
+            kept[w] = self.evidence(w)
         out = []
         for c, t in zip(cut, texts, strict=True):
             e = np.fromiter(map(kept.__getitem__, c), np.int16, len(c))
@@ -260,7 +260,7 @@ def train_toxicity(toxic: list[str], ordinary: list[str]) -> ToxicModel:
     marked = [f" {w} ".encode("utf-8", "surrogatepass") for t in learn_t for w in windows_of(t) if not told.isdisjoint(units_of(w))]
     plain, size = [], 0
     for t in learn_o:
-        if size > 4_000_000:
+        if size > SAMPLE_CHARS:
             break
         words = windows_of(t)
         plain.extend((" " + " ".join(words[i : i + 12]) + " ").encode("utf-8", "surrogatepass") for i in range(0, len(words), 12))
@@ -273,44 +273,49 @@ def train_toxicity(toxic: list[str], ordinary: list[str]) -> ToxicModel:
     return model
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, learn, doc_id: str, text: str, label: str) -> tuple[list[str], list[str]]:
+def learning_sample(docs: DataFrame, labels: DataFrame, learn, doc_id: str, text: str, label: str, label_id: str) -> tuple[list[str], list[str]]:
     """Toxic and ordinary texts, those of least hash of their id, within the bounds; the ids are drawn first, so few texts move.
 
-    Of contradicting labels of a document the larger counts; null labels are not learned from.
+    Of contradicting labels of a document the larger counts; null labels are not learned from. Of an id's several texts one is.
     """
-    own = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").where(learn)
+    own = labels.select(F.col(label_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null").where(learn)
     own = own.groupBy("doc_id").agg((F.max("label") > 0).alias("label"))
     ids: list = []
     for kind, most in ((True, SAMPLE_TOXIC), (False, SAMPLE_ORDINARY)):
         ids += own.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
     if not ids:
         return [], []
-    drawn = docs.sparkSession.createDataFrame(ids, own.schema)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    rows = rows.where(F.length("text") <= LONGEST_LEARNED).select("label", "doc_id", "text", F.xxhash64("doc_id").alias("place"))
-    found: dict[bool, list[str]] = {True: [], False: []}
-    size = Counter()
-    for r in sorted(rows.collect(), key=lambda r: (r["place"], r["doc_id"], r["text"])):
+    drawn = F.broadcast(docs.sparkSession.createDataFrame(ids, own.schema))  # 6,000 rows at most
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(drawn, "doc_id").where(F.length("text") <= LONGEST_LEARNED)
+    sample = save(rows.groupBy("label", "doc_id").agg(F.min("text").alias("text")), "sample")
+    place = F.xxhash64("doc_id").alias("place")
+    size, chosen = Counter(), []
+    for r in sample.select("label", "doc_id", place, F.length("text").alias("n")).orderBy("place", "doc_id").collect():
         if size[r["label"]] < SAMPLE_CHARS:
-            found[r["label"]].append(r["text"])
-            size[r["label"]] += len(r["text"])
+            chosen.append((r["doc_id"],))
+            size[r["label"]] += r["n"]
+    kept = sample.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, sample.select("doc_id").schema)), "doc_id")
+    found: dict[bool, list[str]] = {True: [], False: []}
+    for r in sorted(kept.select("label", place, "doc_id", "text").collect(), key=lambda r: (r["place"], r["doc_id"])):
+        found[r["label"]].append(r["text"])
     return found[True], found[False]
 
 
 _scorers: dict[str, WindowScorer] = {}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn=None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns and ``score`` (0 to 1) of each document; every whole text is scored, null as empty.
+def score_toxicity(docs: DataFrame, labels: DataFrame, learn=None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", carry: tuple[str, ...] = ("doc_id",), label_id: str | None = None) -> DataFrame:
+    """The ``carry`` columns (none of them called ``score``) and ``score`` (0 to 1) of each document; every whole text is scored, null as empty.
 
-    The model is learned from labelled rows for which ``learn``, a condition on ``doc_id``, holds (all if None). Without toxic
-    labels every score is the base rate. Repeated rows are scored each; an empty table gives an empty one.
+    The model is learned from labelled rows for which ``learn``, a condition on ``doc_id``, holds (all if None); ``label_id`` is the
+    labels' id column where it is called otherwise than the documents'. Without toxic labels every score is the base rate. Repeated rows are scored each; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     ship(spark)
-    model = train_toxicity(*learning_sample(docs, labels, F.lit(True) if learn is None else learn, doc_id, text, label))
+    model = train_toxicity(*learning_sample(docs, labels, F.lit(True) if learn is None else learn, doc_id, text, label, label_id or doc_id))
     sent, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # under 40 KB, and the runs of the bounded sample that stand out
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
+    at = carry.index(text) if text in carry else len(carry)
 
     def run(batches):
         import pyarrow as pa
@@ -320,13 +325,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn=None, doc_id: str =
             _scorers.clear()
             _scorers[tag] = WindowScorer(sent.value)
         for batch in batches:
-            last = batch.num_columns - 1
             scores: list[float] = []
-            for some in by_bytes(x or "" for x in batch.column(last).to_pylist()):
+            for some in by_bytes(x or "" for x in batch.column(at).to_pylist()):
                 scores.extend(_scorers[tag].scores(some))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(last)), pa.array(scores, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), pa.array(scores, pa.float64())], names=schema.names)
 
-    return docs.select(*[F.col(c) for c in carry], F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
