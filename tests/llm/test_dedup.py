@@ -44,6 +44,8 @@ def test_components(spark):
             links.setdefault(b, set()).add(a)
     assert made == {n: r for n, r in groups_of(links, links).items() if n != r}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    star = [(0, i) for i in range(1, 900)] + [(i, 5000 + i) for i in range(1, 900, 7)]
+    assert {r.component for r in components(spark.createDataFrame(star, "u long, v long").repartition(8)).collect()} == {0}
 
 
 def test_exact(spark):
@@ -107,6 +109,34 @@ def test_ngram_join_odd_rows(spark):
     assert len(ngram_join.drop_near_duplicates(docs(spark, [(1, "a b c d e f"), (1, "a b c d e f")])).collect()) == 1
 
 
+NEAR = "the quick brown fox jumps over the lazy dog and then runs home to its own den in the dark green wood at night when all is still"
+FAR = "every morning a small boat leaves the old harbour with nets ropes and bread for the men who fish until noon far out at sea"
+
+
+def test_repeated_ids_keep_their_own_texts(spark):
+    """Links by row, and no text is lost with another one of its id."""
+    near, far = NEAR.replace("still", "calm"), FAR.replace("at sea", "at bay")
+    rows = [(1, NEAR), (1, FAR), (7, near), (8, far)]
+    got = sorted((r.doc_id, r.n_links, r.class_id) for r in ngram_join.jaccard_join(docs(spark, rows)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (7, 1, 1), (8, 1, 1)]
+    rows = [(3, NEAR), (5, NEAR), (5, FAR), (7, near), (8, far), (9, "one other text stands alone here"), (9, "one other text stands alone here"), (9, None), (9, ""), (None, NEAR), (4, "x")]
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(docs(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(3, NEAR), (5, FAR), (9, "one other text stands alone here"), (9, None), (9, ""), (None, NEAR), (4, "x")], key=repr)
+
+
+def test_large_clusters_go_by_buckets(spark):
+    """A chain of texts that share ever fewer shingles, and a group of near copies, with blocks far smaller than either."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in rng.integers(0, 10_000, 900)]
+    rows = [(k, " ".join(words[6 * k : 6 * k + 100])) for k in range(120)]
+    rows += [(1000 + k, " ".join([*words[:60], f"x{k}", *words[60:100]])) for k in range(60)]
+    links = brute_jaccard(rows)
+    root = groups_of(links, links)
+    for block in (7, 1000):
+        got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.jaccard_join(docs(spark, rows), block=block).collect()}
+        assert got == {i: (len(links[i]), root[i]) for i, _ in rows}
+
+
 def test_banding():
     b = ngram_join.choose_banding()
     assert b.recall(0.8) >= 0.9999 and b.bands * b.rows <= ngram_join.MOST_HASHES
@@ -151,6 +181,13 @@ def test_embeddings(spark, tile):
     assert got[None].n_links == 0 and got[None].component_id is None and len(got) == len(rows)
 
 
+def test_repeated_vector_ids(spark):
+    """Rows of one id are vectors of their own: each has its own links."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (4, [1.0, 0.01]), (5, [0.0, 1.0]), (6, [0.01, 1.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (4, 1, 1, False), (5, 2, 1, False), (6, 2, 1, False)]
+
+
 def test_no_embeddings(spark):
     kinds = "vec_id long, embedding array<float>"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], kinds)).count() == 0

@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 from lodestone.llm import chat_format, language_id, queries, toxicity, warc_revisits
 
 
-def brute_bits(samples, word, order=language_id.ORDER):
-    """Code length of a word by walking counts, a symbol at a time."""
+def brute_bits(samples, text, order=language_id.ORDER):
+    """Code length of a text by walking counts, a symbol at a time."""
     counts = {}
-    for text in samples:
-        for w in language_id.words_of(text):
-            b = b" " + w + b" "
-            for i in range(1, len(b)):
-                for k in range(min(i, order) + 1):
-                    counts.setdefault(b[i - k : i], {}).setdefault(b[i], 0)
-                    counts[b[i - k : i]][b[i]] += 1
-    total, b = 0.0, b" " + word + b" "
-    for i in range(1, len(b)):
-        for k in range(min(i, order), -1, -1):
+    front = lambda t: b"\n" * order + t.lower().encode()
+    for t in samples:
+        b = front(t)
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                after = counts.setdefault(b[i - k : i], {})
+                after[b[i]] = after.get(b[i], 0) + 1
+    total, b = 0.0, front(text)
+    for i in range(order, len(b)):
+        for k in range(order, -1, -1):
             after = counts.get(b[i - k : i])
             if after is None:
                 continue
@@ -38,14 +38,22 @@ def brute_bits(samples, word, order=language_id.ORDER):
     return total
 
 
-def test_code_lengths():
-    samples = {"en": ["the cat sat on the mat"], "de": ["der Hund und die Katze über"]}
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_code_lengths(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    samples = {"en": ["the cat sat on the mat", "a", ""], "de": ["der Hund und die Katze über 12.5 %"]}
     model = language_id.train_ppm(samples)
-    words = [b"the", b"katze", "über".encode(), b"q", b"mathe", b"zzzzzzz"]
-    got = model.word_bits(words)
-    for i, w in enumerate(words):
+    texts = ["the cat", "", "Katze\n\nüber 12", "q", "mathe die, das", "", "zzzzzzz", "\u0130"]
+    got, sizes = language_id.text_bits([t.laid_out() for t in model.trees], texts)
+    assert sizes.tolist() == [len(t.lower().encode()) for t in texts]
+    for i, t in enumerate(texts):
         for j, language in enumerate(model.languages):
-            assert got[i, j] == pytest.approx(brute_bits(samples[language], w))
+            assert got[i, j] == pytest.approx(brute_bits(samples[language], t), rel=1e-5)
+
+
+def test_only_letters_count():
+    scorer = language_id.Scorer(language_id.train_ppm({"de": ["der Hund und die Katze"]}))
+    assert [r[0] for r in scorer.score(["½ ² ① 100", "Ⅷ", "ª", "_", "x", None, "", "你"])] == ["und", "und", "de", "und", "de", "und", "und", "de"]
 
 
 def test_language_rows(spark):
