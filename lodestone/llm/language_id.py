@@ -35,6 +35,8 @@ TEMPERATURE = 0.2
 #: Bits a byte above that quantile of a language's texts, as trees see them that have not learned them, at which a text counts as no
 #: known language. Texts are measured in two turns, below ``FEW`` texts in ``FOLDS``; below ``FOLDS`` texts nothing can be measured.
 SLACK_BITS, QUANTILE, FOLDS, FEW = 1.0, 0.95, 5, 100
+#: What a text may cost beyond that as a whole: an address, a number or a name weighs much in a short text and says nothing of it.
+ONCE_BITS = 64
 #: Words below which a text is too short to measure a ceiling on.
 LEAST_WORDS = 5
 
@@ -283,7 +285,7 @@ class Scorer:
                 best = int(np.argmin(total))
                 odds = np.exp2(np.maximum(-(total - total[best]) * TEMPERATURE, -1000))
                 rate = float(total[best] / n)
-                out[k] = (languages[best], float(1 / odds.sum()), rate, bool(rate <= self.model.ceiling[best]))
+                out[k] = (languages[best], float(1 / odds.sum()), rate, bool(total[best] <= self.model.ceiling[best] * n + ONCE_BITS))
         return out
 
 
