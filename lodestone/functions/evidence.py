@@ -17,16 +17,26 @@ def _set(*pairs: tuple[Column, str]) -> Column:
 # tokens
 
 
+#: Endings that are stripped, by a test of the word: English in steps, then Korean forms and particles. Fixed values.
+ENDINGS = (
+    ("^[a-z]+$", (("(?:izations?|isations?)$", ""), ("(?:ations?|ating|ated|ingly|ing|edly|ed)$", ""), ("ies$", "y"), ("s$", ""))),
+    ("[가-힣]..|.[가-힣].|..[가-힣]", (
+        ("(?:인가요|한가요|일까요|나요|까요|습니까|입니까)$", ""), ("(?:입니다|됩니다|합니다|드립니다|있습니다|없습니다|했습니다|되었습니다|줍니다)$", ""),
+        ("(?:으로|에서|에게|까지|부터|처럼|보다|에는|에서는|은|는|이|가|을|를|의|에|도|와|과)$", ""),
+    )),
+)
+
+
 def evidence_token(token: Column) -> Column:
-    """English endings stripped in three steps, Korean endings and particles in three."""
+    """English endings stripped in four steps, Korean endings and particles (of three characters or more) in three."""
     t = F.lower(token)
-    latin = t
-    for pattern, value in (("(?:izations?|isations?)$", ""), ("(?:ations?|ating|ated|ingly|ing|edly|ed)$", ""), ("ies$", "y"), ("s$", "")):
-        latin = F.regexp_replace(latin, pattern, value)
-    korean = t
-    for pattern in ("(?:인가요|한가요|일까요|나요|까요|습니까|입니까)$", "(?:입니다|됩니다|합니다|드립니다|있습니다|없습니다|했습니다|되었습니다|줍니다)$", "(?:으로|에서|에게|까지|부터|처럼|보다|에는|에서는|은|는|이|가|을|를|의|에|도|와|과)$"):
-        korean = F.regexp_replace(korean, pattern, "")
-    return F.when(t.rlike("^[a-z]+$"), latin).when(t.rlike("[가-힣]") & (F.length(t) >= 3), korean).otherwise(t)
+    rule = F.when(F.lit(False), t)
+    for test, endings in ENDINGS:
+        bare = t
+        for pattern, value in endings:
+            bare = F.regexp_replace(bare, pattern, value)
+        rule = rule.when(t.rlike(test), bare)
+    return rule.otherwise(t)
 
 
 def support_term(token: Column) -> Column:
@@ -35,16 +45,6 @@ def support_term(token: Column) -> Column:
     return F.when(t.rlike("^[가-힣]{3,}$"), F.regexp_replace(t, "(?:으로|에서|에게|에는|에도|은|는|이|가|을|를|와|과|의|로|에|도|만)$", "")).when(t.endswith("'s"), F.substr(t, F.lit(1), F.length(t) - 2)).when((F.length(t) > 4) & t.endswith("s"), F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t)
 
 
-def meaningful_tokens(text: Column) -> Column:
-    """Distinct stripped terms that are no stopwords, and trigrams of Japanese text."""
-    from lodestone.functions.text import STOPWORDS
-
-    plain = F.array_distinct(F.filter(F.transform(terms(text), evidence_token), lambda t: (F.length(t) >= 2) & ~t.isin(*STOPWORDS)))
-    bare = F.regexp_replace(text, r"[^\x{3040}-\x{30FF}\x{3400}-\x{9FFF}]+", "")
-    grams = F.when(F.length(bare) >= 3, F.transform(F.sequence(F.lit(1), F.length(bare) - 2), lambda i: F.substr(bare, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(plain, F.when(text.rlike(r"[\x{3040}-\x{30FF}]"), grams).otherwise(F.array().cast("array<string>"))))
-
-
 def tokens_match(a: Column, b: Column) -> Column:
     return (a == b) | ((F.least(F.length(a), F.length(b)) >= 3) & (F.contains(a, b) | F.contains(b, a)))
 
@@ -53,7 +53,7 @@ def tokens_match(a: Column, b: Column) -> Column:
 MODALITY = (
     ("not", f"{BEGIN}not{END}|않"), ("no", f"{BEGIN}no{END}|없|아니|미포함|불가"), ("never", f"{BEGIN}never{END}"), ("without", f"{BEGIN}without{END}"), ("may", f"{BEGIN}may{END}"), ("might", f"{BEGIN}might{END}"),
     ("can", f"{BEGIN}can{END}|도울\\s*수"), ("could", f"{BEGIN}could{END}"), ("help", f"{BEGIN}helps?{END}|도움|돕"), ("support", f"{BEGIN}supports?{END}|기여"), ("suggest", f"{BEGIN}suggests?{END}"), ("reported", f"{BEGIN}reported?{END}|보고"),
-    ("measured", f"{BEGIN}measur(?:e|ed|ement)s?{END}|측정"), ("tested", f"{BEGIN}(?:tests?|tested){END}|시험|테스트"), ("study", f"{BEGIN}stud(?:y|ies){END}|연구"), ("result", f"{BEGIN}results?{END}|결과"), ("observed", f"{BEGIN}observ(?:e|ed|ation)s?{END}|관찰"),
+    ("measured", f"{BEGIN}measur(?:e|ed|ement)s?{END}|측정"), ("tested", f"{BEGIN}tests?|tested{END}|시험|테스트"), ("study", f"{BEGIN}stud(?:y|ies){END}|연구"), ("result", f"{BEGIN}results?{END}|결과"), ("observed", f"{BEGIN}observ(?:e|ed|ation)s?{END}|관찰"),
     ("review", f"{BEGIN}reviews?{END}|리뷰|후기"), ("presented", f"{BEGIN}presented?{END}|제시"), ("because", f"{BEGIN}because{END}|때문"), ("therefore", f"{BEGIN}therefore{END}"), ("cause", f"{BEGIN}causes?{END}"), ("due-to", f"{BEGIN}due\\s+to{END}"),
     ("through", f"{BEGIN}through{END}|통해"), ("effective", f"{BEGIN}effective{END}|효과적"), ("improve", f"{BEGIN}improves?{END}|개선"), ("reduce", f"{BEGIN}reduces?{END}|감소"), ("increase", f"{BEGIN}increases?{END}|증가"), ("proven", f"{BEGIN}proven{END}|입증"),
 )
@@ -68,10 +68,19 @@ def same_modality(a: Column, b: Column) -> Column:
     return modality(a) == modality(b)
 
 
+#: Whose experience is told: any review, a single one, many, or praise only. Fixed values.
+REVIEW_SCOPES = (
+    f"{BEGIN}(?:review|reviews|customer feedback){END}|(?:고객\\s*)?(?:리뷰|후기)",
+    f"{BEGIN}(?:one|a single)\\s+(?:customer\\s+)?review{END}|(?:한|1명의?)\\s*(?:고객\\s*)?(?:리뷰|후기)",
+    f"{BEGIN}(?:customers|reviewers|reviews\\s+(?:show|mention|indicate)){END}|고객들|여러\\s*(?:고객|리뷰)|공통\\s*(?:경향|반응)|고객\\s*리뷰에서는",
+    f"{BEGIN}positive\\s+reviews?{END}|긍정(?:적인)?\\s*(?:리뷰|후기)",
+)
+
+
 def same_review_scope(a: Column, b: Column) -> Column:
     """Four flags of whose experience is told agree."""
     same = F.lit(True)
-    for p in ("review|리뷰|후기", "customer|user|고객|사용자", "some|일부", "average|평균"):
+    for p in REVIEW_SCOPES:
         same = same & (matches(a, p) == matches(b, p))
     return same
 
@@ -241,7 +250,13 @@ def faq_preference(question: Column, answer: Column) -> Column:
 
 # scores
 
-TOPIC_ROLES = (("(?<![A-Za-z])(?:ingredients?|actives?|formula)(?![A-Za-z])|성분|원료|포뮬러", ("ingredient", "description", "source", "faq")), ("(?<![A-Za-z])(?:benefits?|effects?|results?)(?![A-Za-z])|효능|효과|혜택|개선", ("benefit", "effect", "description", "metric", "source", "faq")), ("(?<![A-Za-z])(?:reviews?|customers?\\s+(?:say|mention))(?![A-Za-z])|리뷰|후기", ("review", "faq", "source")), ("(?<![A-Za-z])(?:price|cost|size|option|variant)(?![A-Za-z])|가격|용량|옵션|버전", ("commerce", "faq", "source")))
+#: Topics that a claim names and the roles of evidence that can carry each. Fixed values.
+TOPIC_ROLES = (
+    (f"{BEGIN}(?:ingredients?|actives?|formula){END}|성분|원료|포뮬러|成分|原料|処方", ("ingredient", "description", "source", "faq")),
+    (f"{BEGIN}(?:benefits?|effects?|results?){END}|효능|효과|혜택|개선|効果|ベネフィット|改善", ("benefit", "effect", "description", "metric", "source", "faq")),
+    (f"{BEGIN}(?:reviews?|customers?\\s+(?:say|mention)){END}|리뷰|후기|고객이\\s*언급|レビュー|口コミ", ("review", "faq", "source")),
+    (f"{BEGIN}(?:price|cost|size|option|variant){END}|가격|용량|옵션|버전|価格|容量|オプション|種類", ("commerce", "faq", "source")),
+)
 
 
 def roles_support_topics(text: Column, roles: Column) -> Column:

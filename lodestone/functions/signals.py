@@ -44,6 +44,7 @@ SECTION_TITLES = (
     ("benefit", "^(benefits?|why you'?ll love it|good for|장점|효능|피부\\s?고민)$"),
     ("effect", "^(clinical results?|results?|efficacy|효과|결과|개선)$"),
 )
+#: Two of the titles' rules come again here: the first pass asks for a whole title, this one for a word in title or text.
 SECTION_TEXTS = (
     ("rating", "rating|stars?|평점|별점"),
     ("review", "review|customer|리뷰|후기"),
@@ -121,6 +122,25 @@ def usage_instruction(t: Column) -> Column:
     return matches(v, USAGE) & ~measurement_timeline(v)
 
 
+#: How a question begins or what it holds; chrome of review widgets. Fixed values.
+QUESTIONS = f"\\?|^(?:how|what|when|where|why|can|should|is|are|does|do|which){END}|자주|질문|답변"
+REVIEW_CHROME = "write a review|sort by|filter|load more|see more reviews|리뷰 작성|정렬|필터"
+
+
+def faq_question(t: Column) -> Column:
+    return matches(clean_text(t), QUESTIONS)
+
+
+def faq_item(question: Column, answer: Column) -> Column:
+    """An answered question that is no shop chrome."""
+    return (F.length(question) > 0) & (F.length(answer) > 0) & faq_question(question) & ~commerce_text(F.concat_ws(" ", question, answer))
+
+
+def review_chrome(t: Column) -> Column:
+    """Text of a review widget rather than of a review."""
+    return matches(t, REVIEW_CHROME) & (F.length(t) < 120)
+
+
 def includes_keyword(text: Column, keyword: Column) -> Column:
     """Containment in any case, or after separators are dropped."""
     key = comparison_text(keyword)
@@ -266,7 +286,7 @@ def is_boilerplate(section: Column) -> Column:
 
 
 #: Names of evidence sources and the type each stands for; the retrieval boost of each type. Fixed values.
-SOURCE_TYPES = {"product": "product", "review": "review", "image": "image", "news": "news", "paper": "paper", "existing-geo": "existing-geo", "custom": "custom", "research": "paper", "research-paper": "paper", "article": "news", "newsArticle": "news"}
+SOURCE_TYPES = {"product": "product", "review": "review", "image": "image", "news": "news", "paper": "paper", "existing-geo": "existing-geo", "custom": "custom", "research": "paper", "research-paper": "paper", "article": "news", "newsArticle": "news", "geo": "existing-geo", "pdp-geo": "existing-geo"}
 SOURCE_BOOSTS = {"paper": 0.16, "news": 0.12, "review": 0.1, "existing-geo": 0.09, "image": 0.08, "product": 0.07, "custom": 0.04}
 
 
@@ -278,8 +298,8 @@ def lookup(key: Column, table: dict, default) -> Column:
 
 
 def source_type(name: Column, fallback: str = "custom") -> Column:
-    """The type that a source's name stands for; names that end in ``geo`` are earlier results of this kind."""
-    return F.when(name.rlike("^([a-z]+-)?geo$"), "existing-geo").otherwise(lookup(name, SOURCE_TYPES, fallback))
+    """The type that a source's name stands for."""
+    return lookup(name, SOURCE_TYPES, fallback)
 
 
 def source_boost(kind: Column) -> Column:

@@ -155,6 +155,14 @@ def dedupe_comma_list(text: Column) -> Column:
     return F.when((F.size(parts) >= 3) & short, F.array_join(once, ", ")).otherwise(text)
 
 
+def product_name(text: Column, sites: tuple[str, ...] = ()) -> Column:
+    """A page title without what follows a bar, and without a closing site name behind a dash; null where nothing is left."""
+    body = F.regexp_replace(clean_text(F.coalesce(text, F.lit(""))), r"\s+\|\s+.*$", "")
+    for site in (*sites, "Official Store", "Official Site"):
+        body = F.regexp_replace(body, rf"(?iu)\s+[–—-]\s+\Q{site}\E.*$", "")
+    return F.nullif(clean_text(body), F.lit(""))
+
+
 # numbers and amounts
 
 
@@ -214,26 +222,34 @@ def identifier_tokens(text: Column) -> Column:
     return F.array_distinct(matched(text, rf"{BEGIN}(?:[A-Z]{{2,}}[A-Z0-9-]*|[A-Za-z]+\d+[A-Za-z0-9-]*|\d+[A-Za-z]+[A-Za-z0-9-]*){END}", fold=False))
 
 
-#: Spellings of a unit and its one name. Fixed values.
-UNIT_NAMES = {"percent": "%", "퍼센트": "%", "week": "week", "weeks": "week", "주": "week", "day": "day", "days": "day", "일": "day", "hour": "hour", "hours": "hour", "시간": "hour", "명": "people", "people": "people", "participants": "people", "회": "time", "time": "time", "times": "time"}
+#: Units of a claimed number, longer spellings first where one begins like another; what is dropped or renamed at its end. Fixed values.
+CLAIM_UNITS = "%|％|ppm|ml|mg|kg|g|oz|hours?|hrs?|days?|weeks?|months?|minutes?|seconds?|participants?|subjects?|users?|people|times?|layers?|krw|usd|eur|gbp|jpy|시간|일|주|개월|분|초|명|회|배|개|층|원|달러|유로|엔|人|時間|日|週間|か月|分|秒"
+CLAIM_ENDINGS = (
+    ("(?:krw|usd|eur|gbp|jpy|원|달러|유로|엔)$", ""), (r"^(\d+)\.0+$", "$1"), ("hrs?$", "hour"), ("hours$", "hour"), ("days$", "day"), ("weeks$", "week"), ("months$", "month"), ("minutes$", "minute"), ("seconds$", "second"),
+    ("participants$", "participant"), ("subjects$", "subject"), ("users$", "user"), ("layers?$", "층"), ("times$", "time"),
+)
 
 
 def numeric_claims(text: Column) -> Column:
-    """``number unit`` tokens with units in one spelling, distinct."""
-    pattern = r"(\d+(?:[.,]\d+)*)\s*(%|percent|퍼센트|weeks?|주|days?|일|hours?|시간|명|people|participants|회|times?)?"
-    names = F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
+    """Numbers that stand alone, each with its unit in one spelling, in order, repeats kept."""
+    found = matched(text, rf"(?<![\p{{L}}\p{{N}}])\d+(?:[.,]\d+)?\s*(?:{CLAIM_UNITS})?(?![.,]\d|[\p{{L}}\p{{N}}])")
 
     def one(x: Column) -> Column:
-        number = F.replace(F.regexp_extract(x, r"^(\d+(?:[.,]\d+)*)", 1), F.lit(","), F.lit(""))
-        unit = F.trim(F.regexp_replace(F.lower(x), r"^\d+(?:[.,]\d+)*", ""))
-        return F.concat(number, F.coalesce(names[unit], unit))
+        token = F.lower(F.regexp_replace(x, r"[,\s]+", ""))
+        for pattern, value in CLAIM_ENDINGS:
+            token = F.regexp_replace(token, pattern, value)
+        return token
+
+    return F.transform(found, one)
+
 
-    return F.array_distinct(F.transform(matched(text, pattern), one))
+#: Where a clause with numbers ends. Fixed values.
+CLAIM_BREAKS = rf"(?iu)[;。！？!?]|\.(?=\s|$)|,(?=\s*[^\d\s])|{BEGIN}(?:and|also|while|whereas){END}|그리고|또한|반면|이며|および|また|一方"
 
 
 def numeric_claim_groups(text: Column) -> Column:
     """The tokens of each clause that has any."""
-    return F.filter(F.transform(F.split(text, r"[;。！？\n]|[.!?](?!\d)|,(?!\d)"), numeric_claims), lambda x: F.size(x) > 0)
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), CLAIM_BREAKS), numeric_claims), lambda x: F.size(x) > 0)
 
 
 # rounding and bounds

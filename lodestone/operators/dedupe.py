@@ -46,12 +46,6 @@ def is_subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
-def removed_sentences(before: Column, after: Column) -> Column:
-    """Fingerprints of sentences that are gone."""
-    keys = lambda t: F.transform(T.sentences(t), lambda x: T.fingerprint(x))
-    return F.array_except(keys(before), keys(after))
-
-
 def comparison(text: str) -> str:
     return re.sub(r"[\W_]+", "", " ".join(text.split()).lower())
 

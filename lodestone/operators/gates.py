@@ -1,4 +1,4 @@
-"""Support gates: whether a proposed text is carried by evidence. Proposals are data; acceptance is a deterministic column."""
+"""Gates of locale and overlap, and keyword corrections. Proposals are data; acceptance is a deterministic column."""
 
 from __future__ import annotations
 
@@ -6,64 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators.retrieval import dice, jaccard
-
-# Study scopes that must be kept, risks that must be in the evidence, negations.
-SCOPES = ("self[-\\s]?assessment|consumer\\s+(?:survey|test)|survey|자가\\s*평가|소비자\\s*(?:설문|평가)", "clinical|instrumental|in[-\\s]?vivo|임상|기기\\s*(?:평가|측정)", "results?\\s+(?:may\\s+)?vary|individual\\s+results|개인차|결과는\\s*다를")
-RISKS = ("cure|treat|heal|치료|완치", "guarantee|보장", "permanent|영구", "instant|immediate|즉각|즉시", "hypoallergenic|저자극", "dermatolog|피부과", "clinical|임상", "anti-?aging|안티에이징", "safe for|안전", "100\\s*%", "best|최고", "only|유일")
-NEGATION = "(?<![A-Za-z0-9_])(?:not|no|never|without|cannot|can't|don't|doesn't)(?![A-Za-z0-9_])|않|없|아니"
-HEDGE = "(?<![A-Za-z0-9_])(?:may|might|can|could|help|helps|appears?|suggests?)(?![A-Za-z0-9_])|도움|수 있"
-CAUSAL = "because|due to|thanks to|therefore|leads? to|causes?|때문|덕분"
 
 
 def metric_tokens_supported(claim: Column, evidence: Column) -> Column:
     return F.size(F.array_except(T.numeric_claims(claim), T.numeric_claims(evidence))) == 0
 
 
-def relationships_supported(claim: Column, evidence: Column) -> Column:
-    """Each clause with two numbers or more lies inside one clause of the evidence."""
-    own = F.filter(T.numeric_claim_groups(claim), lambda g: F.size(g) >= 2)
-    given = T.numeric_claim_groups(evidence)
-    return F.forall(own, lambda g: F.exists(given, lambda c: F.size(F.array_except(g, c)) == 0))
-
-
-def scopes_kept(claim: Column, evidence: Column) -> Column:
-    test = F.lit(True)
-    for p in SCOPES:
-        test = test & (~T.matches(evidence, p) | T.matches(claim, p))
-    return test
-
-
-def numbers_supported(claim: Column, evidence: Column) -> Column:
-    none = F.size(T.numeric_claims(claim)) == 0
-    return none | (metric_tokens_supported(claim, evidence) & relationships_supported(claim, evidence) & scopes_kept(claim, evidence))
-
-
-def risks_supported(claim: Column, evidence: Column) -> Column:
-    """A risk that the claim names, the evidence names."""
-    test = F.lit(True)
-    for p in RISKS:
-        test = test & (~T.matches(claim, p) | T.matches(evidence, p))
-    return test
-
-
-def polarity_kept(claim: Column, evidence: Column) -> Column:
-    """A negation stays, and hedged evidence is not made firm."""
-    return (T.matches(claim, NEGATION) == T.matches(evidence, NEGATION)) & (~T.matches(evidence, HEDGE) | T.matches(claim, HEDGE))
-
-
 def semantic_overlap(claim: Column, evidence: Column) -> Column:
     """Two shared terms in Korean text, else three."""
     shared = F.size(F.array_intersect(F.array_distinct(T.terms(claim)), T.terms(evidence)))
     return shared >= F.when(T.matches(claim, "[가-힣]"), 2).otherwise(3)
 
 
-def causal_link_supported(claim: Column, evidence: Column) -> Column:
-    """A causal claim needs one causal sentence of the evidence that shares two of its terms."""
-    own = F.array_distinct(T.terms(claim))
-    return ~T.matches(claim, CAUSAL) | F.exists(T.sentences(evidence), lambda s: T.matches(s, CAUSAL) & (F.size(F.array_intersect(own, T.terms(s))) >= 2))
-
-
 def target_locale(text: Column, locale: Column) -> Column:
     """Whether a text's scripts fit a locale."""
     n = lambda p: F.regexp_count(text, F.lit(p))
@@ -75,44 +29,6 @@ def target_locale(text: Column, locale: Column) -> Column:
     return F.when(locale == "ko-KR", korean_ok).when(locale == "ja-JP", japanese_ok).otherwise(other_ok)
 
 
-def rejection_reason(before: Column, after: Column, locale: Column) -> Column:
-    """The first gate that an edit fails, null if it passes."""
-    same = lambda f: f(before) == f(after)
-    numbers = F.array_sort(F.array_distinct(T.numeric_tokens(before))) == F.array_sort(F.array_distinct(T.numeric_tokens(after)))
-    names = F.array_sort(T.identifier_tokens(before)) == F.array_sort(T.identifier_tokens(after))
-    ladder = (
-        ("empty", T.clean_text(after) == ""), ("numbers-changed", ~numbers), ("identifiers-changed", ~names), ("negation-changed", ~same(lambda t: T.matches(t, NEGATION))), ("modality-changed", ~same(lambda t: T.matches(t, HEDGE))),
-        ("causality-added", ~T.matches(before, CAUSAL) & T.matches(after, CAUSAL)), ("wrong-locale", ~target_locale(after, locale)), ("length", (F.length(after) > F.length(before) * 1.6 + 40) | (F.length(after) < F.length(before) * 0.5 - 40)), ("too-different", dice(T.char_ngrams(before), T.char_ngrams(after)) < 0.5),
-    )
-    return F.coalesce(*[F.when(test, name) for name, test in ladder])
-
-
-def too_similar(a: Column, b: Column) -> Column:
-    """Containment either way, or 0.8 of the smaller's terms (three at least) in the other."""
-    x, y = T.fingerprint(a), T.fingerprint(b)
-    s, t = F.array_distinct(T.terms(a)), F.array_distinct(T.terms(b))
-    least = F.least(F.size(s), F.size(t))
-    return F.contains(x, y) | F.contains(y, x) | ((least >= 3) & (F.size(F.array_intersect(s, t)) >= least * 0.8))
-
-
-def faq_equivalent(a: Column, b: Column) -> Column:
-    s, t = F.array_distinct(T.terms(a)), F.array_distinct(T.terms(b))
-    return (T.fingerprint(a) == T.fingerprint(b)) | (jaccard(s, t) >= 0.8)
-
-
-def support_verdicts(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """``claim_id`` and a column per gate over its cited evidence (claims: claim_id, text; evidence: claim_id, ord, text), joined with full stops."""
-    joined = evidence.groupBy("claim_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), ". ").alias("given"))
-    both = claims.join(joined, "claim_id", "left").withColumn("given", F.coalesce("given", F.lit("")))
-    c, e = F.col("text"), F.col("given")
-    gates = {"numbers": numbers_supported(c, e), "risks": risks_supported(c, e), "polarity": polarity_kept(c, e), "causality": causal_link_supported(c, e), "overlap": semantic_overlap(c, e)}
-    rows = both.select("claim_id", *[g.alias(n) for n, g in gates.items()])
-    whole = F.lit(True)
-    for n in gates:
-        whole = whole & F.col(n)
-    return rows.withColumn("supported", whole)
-
-
 # keyword corrections
 
 

@@ -10,7 +10,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import gates
+from lodestone.operators import edits
 
 
 class Proposer(Protocol):
@@ -25,9 +25,15 @@ def nothing(rows: DataFrame) -> DataFrame:
 
 
 def accept_edits(rows: DataFrame, proposals: DataFrame, key: str, text: str, locale: str = "en-US", least: float = 0.5) -> DataFrame:
-    """Each text with its edit where a proposal passes all gates; ``reason`` names the gate that rejected one, or ``low-confidence``."""
+    """Each text with its edit where a proposal passes all gates; ``reason`` names the gate that rejected one, or ``low-confidence``.
+
+    Rows may have ``kind``, ``evidence_ids``, ``ingredients`` and ``fixed`` (see ``edits.rejection_reason``); a row without them is a
+    text of its own source.
+    """
     both = rows.join(proposals, key, "left")
-    gate = gates.rejection_reason(F.col(text), F.col("proposal"), F.lit(locale))
+    held = lambda name, default: F.col(name) if name in rows.columns else default
+    none = F.array().cast("array<string>")
+    gate = edits.rejection_reason(F.col(text), F.col("proposal"), F.lit(locale), held("kind", F.lit("text")), held("evidence_ids", F.array(F.lit("source"))), held("ingredients", none), held("fixed", none))
     reason = F.when(F.col("proposal").isNull(), F.lit(None)).when(F.col("confidence") < least, "low-confidence").otherwise(gate)
     return both.withColumn("reason", reason).withColumn("accepted", F.col("proposal").isNotNull() & F.col("reason").isNull()).withColumn("result", F.when(F.col("accepted"), F.col("proposal")).otherwise(F.col(text)))
 
