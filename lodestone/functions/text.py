@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: White space including no-break and other Unicode spaces.
 WS = r"[\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 NOT_LETTER = r"[^\p{L}\p{N}]"
-#: Word borders that look at ASCII letters only.
-BEGIN, END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+#: A word border that looks at ASCII letters, digits and underscores only: behind a Korean counter there is none before a space.
+BORDER = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+BEGIN = END = BORDER
 #: Words that carry no meaning in evidence keywords. Fixed values.
 STOPWORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "제품", "상품", "그리고", "입니다")
 

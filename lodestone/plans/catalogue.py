@@ -63,6 +63,11 @@ def stable(x: str) -> str:
     return f"abs(case when {h} >= 2147483648 then {h} - 4294967296 else {h} end)"
 
 
+def _rule(pattern: str) -> str:
+    """A pattern in RE2, whose word borders are the ASCII ones that ours spell out."""
+    return pattern.replace(T.BEGIN, r"\b").replace(T.END, r"\b").replace("(?<![A-Za-z])", r"\b").replace("(?![A-Za-z])", r"\b")
+
+
 # text
 
 
@@ -299,22 +304,15 @@ def numeric_tokens(spark, sf_dir):
 
 
 def _keyword_sql() -> str:
-    plain = ("product", "price", "ingredient", "benefit", "effect", "usage", "faq", "review")
-    parts = [f"select doc_id, {i} as c, '{c}' as category, unnest(regexp_extract_all(text, '(?i){S.KEYWORDS[c]}')) as keyword from documents" for i, c in enumerate(plain)]
-    return "select doc_id, category, lower(keyword) as keyword, count(*) as hits from (" + " union all ".join(parts) + ") group by all"
+    parts = [f"select doc_id, '{c}' as category, unnest(regexp_extract_all(text, '(?i){_rule(p)}')) as keyword from documents" for c, p in S.KEYWORDS.items()]
+    return "select distinct doc_id, category, lower(keyword) as keyword from (" + " union all ".join(parts) + ")"
 
 
 @query(_keyword_sql())
 def category_keywords(spark, sf_dir):
-    """Distinct keywords of each category with how often they occur."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = F.concat(*[_labelled(c) for c in list(S.KEYWORDS)[:8]])
-    rows = d.select("doc_id", F.explode(found).alias("k")).select("doc_id", "k.category", F.lower("k.keyword").alias("keyword"))
-    return rows.groupBy("doc_id", "category", "keyword").agg(F.count("*").alias("hits"))
-
-
-def _labelled(category: str):
-    return F.transform(T.matched(F.col("text"), S.KEYWORDS[category]), lambda x: F.struct(F.lit(category).alias("category"), x.alias("keyword")))
+    """Distinct keywords of each category in a document."""
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(S.all_keywords(F.col("text"))).alias("k")).select("doc_id", "k.category", F.lower("k.keyword").alias("keyword"))
 
 
 def _hit(x: str, pattern: str) -> str:
@@ -567,11 +565,6 @@ def evidence_ids(spark, sf_dir):
 # evidence
 
 
-def _rule(pattern: str) -> str:
-    """A pattern in RE2, whose word borders are the ASCII ones that ours spell out."""
-    return pattern.replace(T.BEGIN, r"\b").replace(T.END, r"\b").replace("(?<![A-Za-z])", r"\b").replace("(?![A-Za-z])", r"\b")
-
-
 @query("select doc_id, array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(text, '(?i){_rule(p)}') then '{n}' end" for n, p in E.MODALITY) + "], lambda x: x is not null), ',') as modality from documents")
 def modality_signature(spark, sf_dir):
     """Modality labels of each document, in their fixed order."""

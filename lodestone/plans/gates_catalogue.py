@@ -62,7 +62,7 @@ PAIRS = (
     ("건조한 피부용", "for dry skin", False, False, True, False, False),
     ("Best in winter", "For dry skin", False, False, False, True, False),
     ("Soft because of ginseng", "Soft ginseng", False, False, False, True, False),
-    ("Firmer after 4 weeks, 30% better", "30 % better after 4  weeks", False, False, False, False, True),
+    ("Firmer after 4 weeks, 30% better", "30 % better after 4  weeks", True, False, False, False, True),
     ("Firmer after 4 weeks", "firmer  AFTER 4 weeks it was", True, False, False, False, False),
 )
 
@@ -92,7 +92,7 @@ def faq_pairs(spark, sf_dir):
 LONG = "The serum holds ginseng root extract and niacinamide and it was measured by twenty women for a month"
 LONGER = "Skin was rated softer and firmer by all of them after a month of use twice a day at home and at work"
 DESCRIPTIONS = (
-    (f"This product page covers the serum. {LONG}. {LONGER}.", f"A serum. {LONG}. {LONGER}.", False),
+    (f"This product page covers the jar and its lid. {LONG}. {LONGER}.", f"A serum. {LONG}. {LONGER}.", False),
     (f"The serum. {LONG}. {LONGER}.", f"A serum for all. {LONG}. {LONGER}.", True),
     (LONG, LONG.upper(), True),
     (f"{LONG} and more", LONG, True),
