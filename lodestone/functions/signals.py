@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import BEGIN, END, UNITS, clean_text, comparison_text, fingerprint, matched, matches, strip_source_label
+from lodestone.functions.text import BEGIN, END, UNITS, clean_text, comparison_text, fingerprint, let, matched, matches, names_any, strip_source_label
 
 # Vocabularies of signals.
 HARD_COMMERCE = "레이어\\s*(?:열기|닫기)|장바구니|구매하기|바로구매|제품 수량|상품 수량|수량 감소|수량 증가|총 상품가|혜택 적용가|네이버페이|뷰티포인트|적립 제외|사용 제외|재입고|알림 신청|판매자 정보|상품정보제공 고시|배송/교환/반품|배송지역|배송기간|배송비|교환/반품|반품/교환|청약철회|고객센터|택배기사|회수 상품|반송 주소|구매안전서비스|에스크로|KG이니시스|무료배송|첫 구매 혜택|혜택보기|cart|checkout|shipping|returns?|refund|subscribe|newsletter"
@@ -64,26 +64,40 @@ INSIGHTS = (
 )
 
 
+def _flags(t: Column) -> Column:
+    """What the vocabularies find in a text, each looked for once and only where it can count."""
+    def of(low: Column) -> Column:
+        strong = F.when(names_any(low, STRONG_CARE), F.size(matched(low, STRONG_CARE)) >= 2).otherwise(F.lit(False))
+        commerce = lambda s: names_any(low, HARD_COMMERCE) | ((F.length(low) > 120) & names_any(low, POLICY) & ~s)
+        return let(strong, lambda s: F.struct(s.alias("strong"), commerce(s).alias("commerce"), names_any(low, CARE).alias("care"), names_any(low, REVIEW).alias("review"), names_any(low, FAQ).alias("faq")))
+
+    return let(F.lower(clean_text(F.coalesce(t, F.lit("")))), of)
+
+
+def document_signals(t: Column) -> Column:
+    """``struct<care, strong_care, commerce, review, faq>``: the signals below, with every vocabulary looked up once."""
+    return let(_flags(t), lambda f: F.struct(f["care"].alias("care"), f["strong"].alias("strong_care"), f["commerce"].alias("commerce"), (f["review"] & ~f["commerce"]).alias("review"), (f["faq"] & f["care"]).alias("faq")))
+
+
 def care_signal(t: Column) -> Column:
-    return matches(t, CARE)
+    return names_any(F.lower(F.coalesce(t, F.lit(""))), CARE)
 
 
 def strong_care_signal(t: Column) -> Column:
-    return F.size(matched(t, STRONG_CARE)) >= 2
+    return let(F.lower(F.coalesce(t, F.lit(""))), lambda low: F.when(names_any(low, STRONG_CARE), F.size(matched(low, STRONG_CARE)) >= 2).otherwise(F.lit(False)))
 
 
 def commerce_text(t: Column) -> Column:
     """Shop chrome and policies rather than product text."""
-    v = clean_text(t)
-    return matches(v, HARD_COMMERCE) | ((F.length(v) > 120) & matches(v, POLICY) & ~strong_care_signal(v))
+    return _flags(t)["commerce"]
 
 
 def review_evidence(t: Column) -> Column:
-    return matches(t, REVIEW) & ~commerce_text(t)
+    return let(_flags(t), lambda f: f["review"] & ~f["commerce"])
 
 
 def faq_evidence(t: Column) -> Column:
-    return matches(t, FAQ) & care_signal(t)
+    return let(_flags(t), lambda f: f["faq"] & f["care"])
 
 
 def metric_evidence(t: Column) -> Column:

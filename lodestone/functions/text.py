@@ -28,6 +28,24 @@ def matched(text: Column, pattern: str, fold: bool = True) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?iu)({pattern})" if fold else f"({pattern})"), F.lit(0))
 
 
+def names_any(lowered: Column, pattern: str) -> Column:
+    """Whether a text in lower case holds one of a pattern's alternatives; plain words are looked for one by one, which is faster than their pattern."""
+    depth, parts = 0, [""]
+    for c in pattern:
+        depth += (c in "([") - (c in ")]")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    plain = [p.lower() for p in parts if not any(c in "\\^$.|?*+()[]{}" for c in p)]
+    rest = [p for p in parts if any(c in "\\^$.|?*+()[]{}" for c in p)]
+    found = F.lit(False)
+    for word in plain:
+        if not any(w != word and w in word for w in plain):  # a longer one is found by its part
+            found = found | F.contains(lowered, F.lit(word))
+    return found | lowered.rlike("(?iu)" + "|".join(rest)) if rest else found
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), lambda v: body(v)), 0)

@@ -141,17 +141,29 @@ def split_markdown(df: DataFrame, key: str, text: str, most: int | None = 1100)
 
 
 def budget_batches(df: DataFrame, key: str, order: str, size: Column, budget: int = 14_000) -> DataFrame:
-    """Rows with the number of their batch (from 0): a group's rows in order, a new batch when the running size would pass the budget."""
-    each = F.array_sort(F.collect_list(F.struct(F.col(order).alias("ord"), size.alias("size"))))
-    start = F.struct(F.array().cast("array<struct<ord:bigint,batch:bigint>>").alias("out"), F.lit(0).cast("bigint").alias("batch"), F.lit(0).cast("bigint").alias("used"))
-
-    def step(s: Column, x: Column) -> Column:
-        over = (s["used"] + x["size"] > budget) & (s["used"] > 0)
-        batch = s["batch"] + F.when(over, F.lit(1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(F.concat(s["out"], F.array(F.struct(x["ord"].cast("bigint").alias("ord"), batch.alias("batch")))).alias("out"), batch.alias("batch"), (F.when(over, F.lit(0).cast("bigint")).otherwise(s["used"]) + x["size"].cast("bigint")).alias("used"))
-
-    groups = df.groupBy(key).agg(each.alias("each"))
-    return groups.select(key, F.inline(F.aggregate("each", start, step, lambda s: s["out"]))).withColumnRenamed("ord", order)
+    """``key, order, batch``: rows with the number of their batch (from 0): a group's rows in order, a new batch when the running size would pass the budget.
+
+    Where a batch begins depends on all rows before it, so a group is one task's work; it is read in order, and only a sum is kept.
+    """
+    kinds = dict(df.dtypes)
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, used, batch = object(), 0, 0
+        for b in batches:
+            out = []
+            for k, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if k != now:
+                    now, used, batch = k, 0, 0
+                elif used + n > budget and used > 0:
+                    used, batch = 0, batch + 1
+                used += n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], names=[key, order, "batch"])
+
+    rows = df.select(key, order, F.coalesce(size.cast("long"), F.lit(0)).alias("_size")).repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, batch long")
 
 
 def kind_batches(df: DataFrame, key: str, order: str, kind: str, limits: dict[str, int]) -> DataFrame:

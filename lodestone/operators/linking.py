@@ -48,11 +48,14 @@ def source_backed(items: DataFrame, corpus: DataFrame, least: float = 0.66, leas
 
 
 def semi_or_first(rows: DataFrame, wanted: DataFrame, key: str, group: str, order: str, fallback: int = 4) -> DataFrame:
-    """Rows whose key is wanted; in groups without any, the first ``fallback`` rows."""
-    marked = rows.join(wanted.select(F.col(key)).distinct().withColumn("_wanted", F.lit(1)), key, "left")
-    w = Window.partitionBy(group)
-    marked = marked.withColumns({"_any": F.max("_wanted").over(w), "_rn": F.row_number().over(w.orderBy(order))})
-    return marked.where((F.col("_wanted") == 1) | (F.col("_any").isNull() & (F.col("_rn") <= fallback))).drop("_wanted", "_any", "_rn")
+    """Rows whose key is wanted; in groups without any, the first ``fallback`` rows.
+
+    Groups are told by a distinct of the wanted rows, and first rows are limited before they are shuffled, so no group is gathered.
+    """
+    hits = rows.join(wanted.select(F.col(key)).distinct(), key, "left_semi")
+    rest = rows.join(hits.select(group).distinct(), group, "left_anti")
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return hits.unionByName(rest.withColumn("_rn", place).where(F.col("_rn") <= fallback).drop("_rn"))
 
 
 def semi_or_all(rows: DataFrame, match: Column, group: str) -> DataFrame:

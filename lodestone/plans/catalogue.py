@@ -325,8 +325,8 @@ def _hit(x: str, pattern: str) -> str:
 )
 def evidence_signals(spark, sf_dir):
     """Which signals a document carries."""
-    d, t = read(spark, sf_dir, "documents"), F.col("text")
-    return d.select("doc_id", S.care_signal(t).alias("care"), S.strong_care_signal(t).alias("strong_care"), S.commerce_text(t).alias("commerce"), S.review_evidence(t).alias("review"), S.faq_evidence(t).alias("faq"))
+    d = read(spark, sf_dir, "documents").select("doc_id", S.document_signals(F.col("text")).alias("s"))
+    return d.select("doc_id", "s.care", "s.strong_care", "s.commerce", "s.review", "s.faq")
 
 
 # dedupe and joins
