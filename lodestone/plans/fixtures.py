@@ -78,7 +78,9 @@ def literal(x) -> str:
         return "null"
     if isinstance(x, bool):
         return str(x).lower()
-    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+    if isinstance(x, str):
+        return "'" + x.replace("'", "''") + "'"
+    return f"{x!r}::{'bigint' if isinstance(x, int) else 'double'}"
 
 
 def expected(columns: str, rows) -> str:
