@@ -10,7 +10,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators import edits
+from lodestone.functions import text as T
+from lodestone.operators import citation_flow, edits, retrieval
 
 
 class Proposer(Protocol):
@@ -40,10 +41,33 @@ def accept_edits(rows: DataFrame, proposals: DataFrame, key: str, text: str, loc
 
 def accept_fields(products: DataFrame, patches: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
     """Patches (key, field, value) whose value the product's own corpus (key, text) contains, or covers by two thirds of its terms."""
-    from lodestone.functions import text as T
     from lodestone.operators.retrieval import token_overlap_ratio
 
     both = patches.join(products.select(key), key, "left_semi").join(corpus, key)
     value, text = T.fingerprint(F.col("value"), 1 << 20), T.fingerprint(F.col("text"), 1 << 20)
     backed = F.contains(text, value) | ((F.length(value) >= 12) & (token_overlap_ratio(T.terms(F.col("value")), T.terms(F.col("text"))) >= 0.66))
     return both.withColumn("_ok", backed).groupBy(key, "field", "value").agg(F.max("_ok").alias("accepted"))
+
+
+def retrieve_with(queries: DataFrame, chunks: DataFrame, k: int, hook=None) -> DataFrame:
+    """``query_id, chunk_id, score, rank``: a caller's retrieval (query_id, chunk_id, score), of known queries and chunks only, scores within
+    0 and 1, the best k of each query; without a hook the hybrid one."""
+    if hook is None:
+        return retrieval.hybrid_topk(queries, chunks, k).select("query_id", "chunk_id", "score", "rank")
+    found = hook(queries, chunks).select("query_id", "chunk_id", T.clamp(F.col("score")).alias("score"))
+    found = found.join(queries.select("query_id"), "query_id", "left_semi").join(chunks.select("chunk_id"), "chunk_id", "left_semi").where("score is not null")
+    return retrieval.top_k(retrieval.merge_best(found, ["query_id", "chunk_id"], "score", "chunk_id"), ["query_id"], "score", "chunk_id", k)
+
+
+def reason_with(products: DataFrame, chunks: DataFrame, angle: str, hook=None) -> DataFrame:
+    """A caller's reasoning (doc_id and what it adds) for each product, else the deterministic one."""
+    own = citation_flow.reasoning(products, chunks, angle)
+    return own if hook is None else own.join(hook(products, chunks), "doc_id", "left")
+
+
+def draft_with(briefs: DataFrame, hook=None) -> DataFrame:
+    """``doc_id, title, body, unsupported, accepted``: a caller's drafts (doc_id, title, body) with the wording that their briefs do not carry; no drafts without a hook."""
+    drafts = hook(briefs) if hook else briefs.select("doc_id", F.lit("").alias("title"), F.lit("").alias("body")).where(F.lit(False))
+    both = drafts.join(briefs.select("doc_id", "claims"), "doc_id")
+    both = both.withColumn("unsupported", citation_flow.unsupported_claims(F.concat_ws("\n", "title", "body"), F.col("claims")))
+    return both.select("doc_id", "title", "body", "unsupported", (F.size("unsupported") == 0).alias("accepted"))

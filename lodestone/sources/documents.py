@@ -27,6 +27,11 @@ def write_profile(documents: DataFrame, path: str) -> None:
     documents.select("name", "content").write.mode("overwrite").parquet(path)
 
 
+def reset_profile(defaults: DataFrame, path: str) -> None:
+    """The default documents in place of a folder's."""
+    write_profile(defaults, path)
+
+
 def union_ranked(*sources: DataFrame) -> DataFrame:
     """Sources in order of preference, with their rank; ``first_wins`` by rank settles what they share."""
     return reduce(DataFrame.unionByName, [df.withColumn("source_rank", F.lit(i)) for i, df in enumerate(sources)])

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from lodestone.plans.catalogue import ORACLES, QUERIES
+from lodestone.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
