@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import evidence as E
 from lodestone.functions import text as T
 from lodestone.functions import web as H
-from lodestone.operators import aggregates, chunking, dedupe, extraction, gates, graph, pages, policy, scope, selection
+from lodestone.operators import aggregates, chunking, dedupe, extraction, gates, graph, pages, policy, scope, selection, source_texts
 from lodestone.plans.catalogue import query, read
 from lodestone.plans.fixtures import expected
 from lodestone.sources import documents, products
@@ -410,3 +410,51 @@ def sober_bodies(spark, sf_dir):
     """Bodies without lines that sell."""
     rows = fixture(spark, "id long, body string", [(i, a) for i, (a, _) in enumerate(PROMOTED)])
     return rows.select("id", E.strip_promotion(F.col("body")).alias("body"))
+
+
+CLAUSES = (
+    ("사용 7일 후 87.3% 회복되었고, 사용 7일 후 87.3% 회복되었습니다.", "사용 7일 후 87.3% 회복되었습니다."),
+    ("수분이 20% 개선되었고, 탄력이 30% 개선되었습니다.", "수분이 20% 개선되었고, 탄력이 30% 개선되었습니다."),
+    ("수분이 좋아졌고, 좋아졌습니다.", "수분이 좋아졌고, 좋아졌습니다."),
+)
+
+
+@query(expected("id, sentence", [(i, b) for i, (_, b) in enumerate(CLAUSES)]))
+def clauses_once(spark, sf_dir):
+    """Measured Korean sentences without clauses that only repeat."""
+    rows = fixture(spark, "id long, sentence string", [(i, a) for i, (a, _) in enumerate(CLAUSES)])
+    return rows.select("id", source_texts.without_repeated_clauses(F.col("sentence")).alias("sentence"))
+
+
+UNITS = (
+    ("Soft skin. Firm skin • Calm", "benefit", "Soft skin.|Firm skin|Calm"),
+    ("Apply it. Rinse it.", "usage", "Apply it. Rinse it."),
+    ("Calm skin. Ingredients: Water, Glycerin, Niacinamide", "ingredient", "Calm skin.|Ingredients: Water, Glycerin, Niacinamide"),
+    ("First.Second one", "effect", "First.|Second one"),
+    ("", "benefit", ""),
+)
+
+
+@query(expected("id, units", [(i, u) for i, (_, _, u) in enumerate(UNITS)]))
+def mixed_units(spark, sf_dir):
+    """Mixed texts as units."""
+    rows = fixture(spark, "id long, text string, field string", [(i, a, b) for i, (a, b, _) in enumerate(UNITS)])
+    return rows.select("id", F.array_join(source_texts.mixed_units(F.col("text"), F.col("field")), "|").alias("units"))
+
+
+@query(expected("place, text", [(0, "92% agreed in a clinical study after 4 weeks"), (1, "Ginseng and retinol formula"), (2, "Apply at night")]))
+def telling_texts(spark, sf_dir):
+    """The three most telling texts."""
+    texts = ["Pretty jar", "Apply at night", "92% agreed in a clinical study after 4 weeks", "Ginseng and retinol formula", "Apply  at night", "x"]
+    rows = fixture(spark, "id int, texts array<string>", [(1, texts)])
+    return rows.select(F.posexplode(source_texts.most_telling(F.col("texts"), 3)).alias("place", "text")).select(F.col("place").cast("long").alias("place"), "text")
+
+
+IMAGE_TEXTS = (("Niacinamide for firmer skin", "ingredient,effect"), ("Ingredients: Water, Glycerin, Niacinamide, Panthenol", "ingredient"), ("Step 1 toner, step 2 serum: complete your ritual", ""), ("My skin feels calm: customers say so", "review"))
+
+
+@query(expected("id, categories", [(i, c) for i, (_, c) in enumerate(IMAGE_TEXTS)]))
+def image_sentence_categories(spark, sf_dir):
+    """Categories of sentences on images."""
+    rows = fixture(spark, "id long, text string", [(i, a) for i, (a, _) in enumerate(IMAGE_TEXTS)])
+    return rows.select("id", F.array_join(source_texts.image_categories(F.col("text")), ",").alias("categories"))

@@ -224,3 +224,43 @@ def sentence_pairs(spark, sf_dir):
     own = sentences(spark, sf_dir).where("id < 0")
     pairs = own.select(F.col("id").alias("a"), F.col("text").alias("x")).join(F.broadcast(own.select(F.col("id").alias("b"), F.col("title").alias("y"), F.col("text").alias("z"))))
     return pairs.select("a", "b", S.includes_keyword(F.col("x"), F.col("y")).alias("includes"), S.sentence_belongs(F.col("x"), F.col("z")).alias("belongs"))
+
+
+# roles and routes
+
+ASKED = E.QUESTION.replace("(?![A-Za-z])", "(?:[^A-Za-z]|$)")
+FLAGS = {
+    "commerce": f"({hit('t', E.OFFER)} or {commerce('t')})", "safety": hit("t", E.SAFETY), "review": hit("t", E.EXPERIENCE), "instruction": usage("t"), "num": hit("t", SIGNAL),
+    **{k: hit("t", S.KEYWORDS[k]) for k in ("ingredient", "benefit", "effect")}, "audience": hit("t", E.AUDIENCE), "asked": hit("t", ASKED),
+}
+OPEN = "not safety and not review and not uses and not commerce"
+ROLES = {"commerce": "commerce", "safety": "safety", "review": "review", "usage": "uses", "metric": "metric", "ingredient": "made", "benefit": f"({OPEN} and not metric and benefit)", "effect": f"({OPEN} and effect)", "audience": "audience"}
+
+
+@query(
+    f"""with f as (select id, t, {', '.join(f'{v} as {k}' for k, v in FLAGS.items())} from (select id, v as t from {V})),
+    g as (select *, not safety and not review and not commerce and instruction as uses, not commerce and num as metric, not commerce and not review and ingredient as made from f),
+    h as (select *, list_filter([{', '.join(f"case when {v} then '{k}' end" for k, v in ROLES.items())}], lambda x: x is not null) as found, not asked and t <> '' and made and ({ROLES['benefit']} or {ROLES['effect']}) and not metric and not review and not safety as links from g),
+    r as (select *, case when t = '' then ['source'] when asked then ['faq'] when len(found) = 0 then ['source'] else found end as roles from h)
+    select id, array_to_string(roles, ',') as roles, links, case {' '.join(("when links and list_contains(roles, 'ingredient') then 'ingredient' " if p == 'audience' else '') + f"when list_contains(roles, '{p}') then '{p}'" for p in E.PRECEDENCE)} else 'source' end as first from r"""
+)
+def sentence_roles(spark, sf_dir):
+    """Roles of a sentence, the one that counts, and whether it links an ingredient to an outcome."""
+    made = sentences(spark, sf_dir).select("id", E.evidence_roles(F.col("text")).alias("r"))
+    return made.select("id", F.array_join("r.roles", ",").alias("roles"), "r.links", F.col("r.primary").alias("first"))
+
+
+def _routes(at: int) -> str:
+    lists = [f"case when regexp_matches(h, '{_rule(r[1])}') then {'[' + ', '.join(map(literal, r[at])) + ']' if r[at] else '[]::varchar[]'} else []::varchar[] end" for r in E.ROUTES]
+    return "list_distinct(flatten([" + ", ".join(lists) + "]))"
+
+
+@query(
+    f"""select id, array_to_string(list_sort(case when len(i) > 0 then i else ['general'] end), ',') as intents, array_to_string(list_sort(case when len(t) > 0 then t else ['PDP.content'] end), ',') as targets
+    from (select id, {_routes(2)} as i, {_routes(3)} as t from (select id, lower('src ' || title || ' ' || text) as h from {ROWS}))"""
+)
+def sentence_routes(spark, sf_dir):
+    """Intents and field targets of a sentence as a chunk of a policy document of no special kind."""
+    made = sentences(spark, sf_dir).select("id", E.chunk_routing(F.lit("custom"), F.lit("src"), F.col("title"), F.col("text")).alias("r"))
+    joined = lambda c: F.array_join(F.array_sort(c), ",")
+    return made.select("id", joined("r.intents").alias("intents"), joined("r.targets").alias("targets"))
