@@ -1,8 +1,9 @@
 """WARC: not-modified revisits resolved by an as-of join to the latest earlier full response of the same canonical URL.
 
 The window that finds the response carries ids, validators and headers, never payloads. A URL's records are cut into
-blocks of time: inside a block a sorted window looks back, and what a block has not seen comes from a small table with one
-row for each URL and block. So a URL that holds a third of all records is spread over ``blocks`` tasks.
+blocks of time that hold about as many of all records each: inside a block a sorted window looks back, and what a block has not
+seen comes from a small table with one row for each URL and block. So a URL that holds a third of all records is spread over a third
+of the blocks, even where it was asked for in a burst.
 """
 
 from __future__ import annotations
@@ -44,7 +45,11 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, r"^W/", "")
 
 
-def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
+#: Blocks of time at least and at most; between, one for each so many records.
+LEAST_BLOCKS, MOST_BLOCKS, BLOCK_RECORDS = 64, 256, 1_000_000
+
+
+def resolve_revisits(records: DataFrame, blocks: int | None = None) -> DataFrame:
     """One row per revisit: ``record_id, canonical_url, ts, response_id, status, headers``.
 
     ``records``: ``record_id, url, ts (bigint), kind ('response' or 'revisit'), etag, last_modified, digest, headers
@@ -59,11 +64,13 @@ def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), ((F.col("kind") == "response") & F.col("ts").isNotNull()).alias("full"), (F.col("kind") == "revisit").alias("again"),
         F.col("etag").alias("etag"), F.col("last_modified").alias("last_modified"), F.col("digest").alias("digest"), F.col("headers").cast("map<string,string>").alias("headers"),
     ).where("full or again")
-    span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    low, high = (span["low"] or 0, span["high"] or 0) if span else (0, 0)
-    width = max(1, -(-(high - low + 1) // blocks))
+    if blocks is None:
+        blocks = max(LEAST_BLOCKS, min(MOST_BLOCKS, rows.count() // BLOCK_RECORDS))
+    # where blocks begin does not change what is found, so approximate quantiles do
+    begins = sorted({int(x) for x in rows.approxQuantile("ts", [k / blocks for k in range(1, blocks)], 1 / (4 * blocks))}) if blocks > 1 else []
+    block = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in begins]), lambda b: b <= F.col("ts"))) if begins else F.lit(0)
     stored = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
-    rows = rows.withColumns({"block": F.coalesce(F.floor((F.col("ts") - low) / width), F.lit(-1)).cast("long"), "stored": F.when(F.col("full"), stored)})
+    rows = rows.withColumns({"block": F.when(F.col("ts").isNull(), -1).otherwise(block).cast("long"), "stored": F.when(F.col("full"), stored)})
     without, named = rows.where("canonical_url is null and again"), rows.where("canonical_url is not null")
     # inside a block: at one ts revisits go before responses, which are not earlier
     back = Window.partitionBy("canonical_url", "block").orderBy(F.col("ts").asc_nulls_first(), F.col("full").asc(), "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -85,6 +92,10 @@ def resolve_revisits(records: DataFrame, blocks: int = 64) -> DataFrame:
 
 
 def attach_payload(resolved: DataFrame, payloads: DataFrame) -> DataFrame:
-    """The resolved revisits with the response's ``payload``; ``payloads`` has ``record_id, payload`` of full responses."""
+    """The resolved revisits with the response's ``payload``; ``payloads`` has ``record_id, payload`` of full responses.
+
+    Revisits without a response have a null payload and stay out of the join.
+    """
     side = payloads.select(F.col("record_id").alias("response_id"), F.col("payload").alias("payload"))
-    return resolved.join(side, "response_id", "left")
+    found = resolved.where("response_id is not null").join(side, "response_id", "left").select(*resolved.columns, "payload")
+    return found.unionByName(resolved.where("response_id is null").withColumn("payload", F.lit(None).cast(payloads.schema["payload"].dataType)))
