@@ -59,9 +59,10 @@ class PartVisitor:
         return F.lit("<|document|>"), (F.greatest(F.lit(1), F.coalesce(p["pages"], F.lit(0))) * self.t.page_tokens).cast("long")
 
     def visit(self, p: Column) -> Column:
-        """``struct<text, attachment>``; a part of unknown or null kind is taken as text."""
+        """``struct<text, attachment>``; a part of unknown or null kind is taken as text, and what it refers to is recorded under its kind, with no tokens."""
         text, _ = self.visit_text(p)
-        attachment: Column = F.lit(None)
+        other = F.coalesce(p["kind"], F.lit("unknown"))
+        attachment = F.when(p["ref"].isNotNull() & (other != "text"), F.struct(other.alias("kind"), p["ref"].alias("ref"), F.lit(0).cast("long").alias("tokens")))
         for kind in ("image", "audio", "document"):
             mark, tokens = getattr(self, f"visit_{kind}")(p)
             is_kind = p["kind"] == kind
