@@ -194,10 +194,10 @@ def test_chat_round_trip(spark):
 def test_chat_parts(spark):
     kinds = f"conv_id int, turn int, role string, parts array<{chat_format.PART}>"
     part = lambda kind, text=None, ref=None, w=None, h=None, s=None, p=None: (kind, text, ref, w, h, s, p)
-    rows = [(1, 0, "user", [part("text", "see <"), part("text", "| this"), part("image", ref="i.png", w=56, h=29), part("audio", ref="a.wav", s=2.0), part("document", ref="d.pdf", p=3), part(None, "end")]), (1, 1, "assistant", None)]
+    rows = [(1, 0, "user", [part("text", "see <"), part("text", "| this"), part("image", ref="i.png", w=56, h=29), part("audio", ref="a.wav", s=2.0), part("document", ref="d.pdf", p=3), part("video", ref="v.mp4"), part(None, "end")]), (1, 1, "assistant", None)]
     r = chat_format.format_conversations(spark.createDataFrame(rows, kinds)).first()
-    assert r.formatted == "<|turn|>user<|says|>see <<|part|>| this<|part|><|image|><|part|><|audio|><|part|><|document|><|part|>end<|end|><|turn|>assistant<|says|><|end|>"
-    assert [(a.turn, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "i.png", 4), (0, "audio", "a.wav", 50), (0, "document", "d.pdf", 768)] and r.expanded_tokens == 822
+    assert r.formatted == "<|turn|>user<|says|>see <<|part|>| this<|part|><|image|><|part|><|audio|><|part|><|document|><|part|><|part|>end<|end|><|turn|>assistant<|says|><|end|>"
+    assert [(a.turn, a.kind, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "i.png", 4), (0, "audio", "a.wav", 50), (0, "document", "d.pdf", 768), (0, "video", "v.mp4", 0)] and r.expanded_tokens == 822
 
 
 def test_chat_plan_is_native(spark, sf):
@@ -239,6 +239,19 @@ def test_revisits(spark, blocks):
         assert got[r[0]].headers == ({"etag": str(r[4]), "date": str(r[0]), "content-length": "0"} if use else None)
 
 
+def test_bursts_are_cut_by_counts(spark):
+    """A third of the records in one burst: blocks follow the records, not the clock."""
+    rows = [(k, "https://hot.example/", 1_000_000 + k // 4, "revisit" if k % 3 else "response", f'"{k}"', None, None, None) for k in range(2000)] + [(5000 + k, f"https://x{k % 50}.example/", 1000 * k, "response", None, None, None, None) for k in range(3000)]
+    kinds = "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
+    df = spark.createDataFrame(rows, kinds)
+    key = lambda r: (r.record_id, r.response_id, r.status)
+    found = warc_revisits.resolve_revisits(df, 64)
+    assert sorted(map(key, found.collect()), key=repr) == sorted(map(key, warc_revisits.resolve_revisits(df, 1).collect()), key=repr)
+    payloads = df.where("kind = 'response'").select("record_id", F.lit("x").alias("payload"))
+    full = warc_revisits.attach_payload(found, payloads)
+    assert full.count() == found.count() and full.where("(response_id is null) = (payload is null)").count() == found.count()
+
+
 def test_no_records(spark):
     kinds = "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
     assert warc_revisits.resolve_revisits(spark.createDataFrame([], kinds)).count() == 0
@@ -280,3 +293,19 @@ def test_pipeline(spark, sf):
     empty = docs.limit(0)
     for _, f in corpus_pipeline.STAGES:
         assert f(spark, empty, sf).count() == 0
+
+
+def test_pipeline_stages_take_any_columns(spark, sf):
+    """Columns with the operators' own names, nulls, repeated rows and ids with several texts go through every stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(40).unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (1, "Other words stand here for the first document alone.", "en", "s", 9), (None, "A text of no document stands here.", "en", "s", 9)], docs.schema))
+    names = ("score", "known", "digest", "_digest", "row", "dropped", "twice", "c0", "lang_pred", "group", "kept")
+    odd = odd.select("*", *[F.lit(n).alias(n) for n in names])
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        after = f(spark, odd, sf)
+        assert after.columns == odd.columns, name
+        rows = after.collect()
+        assert rows and all(r[n] == n for r in rows for n in names), name
+    assert corpus_pipeline.pack(spark, odd, sf).where("doc_id is null").count() == 2
