@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.lineage import cut
 
 BUCKETS = 384
 #: Weights of the hybrid score and the constant of rank fusion. Fixed values.
@@ -141,8 +142,11 @@ def _with_boosts(met: DataFrame, both: DataFrame, boosts: DataFrame, k: int) ->
 
 
 def dense_index(chunks: DataFrame, *order: str) -> DataFrame:
-    """``idx`` from 0 without gaps in the given order: range partitions, their sizes' prefix sums, places inside."""
-    ranged = chunks.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    """``idx`` from 0 without gaps in the given order: range partitions, their sizes' prefix sums, places inside.
+
+    The ranged table is checkpointed: both its sizes and its rows have to be of the same ranges.
+    """
+    ranged = cut(chunks.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
     ranged = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     sizes = ranged.groupBy("_part").count()
     bases = sizes.withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")

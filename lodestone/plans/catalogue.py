@@ -14,7 +14,7 @@ from lodestone.functions import evidence as E
 from lodestone.functions import signals as S
 from lodestone.functions import text as T
 from lodestone.functions import web as H
-from lodestone.operators import chunking, dedupe, gates, linking, retrieval, selection
+from lodestone.operators import aggregates, chunking, dedupe, gates, linking, retrieval, selection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -536,7 +536,7 @@ def weighted_readiness(spark, sf_dir):
 def rating_summary(spark, sf_dir):
     """Average and count in words."""
     e = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), T.round_score(F.avg("value"), 1).alias("average"))
-    return e.withColumn("summary", F.concat(F.lit("Rating "), F.col("average").cast("string"), F.lit(" · "), F.col("n").cast("string"), F.lit(" reviews")))
+    return e.withColumn("summary", aggregates.rating_line(F.col("average"), F.col("n")))
 
 
 @query("select user_id, event_type as stage, min(ts) as started_at, max(ts) as completed_at, count(*) as steps from events group by all")

@@ -189,7 +189,7 @@ PHRASES = (rf"(?i)\b\d+(?:\.\d+)?\s?%|\b\d+(?:\.\d+)?(?:-\d+(?:\.\d+)?)?\s?(?:{T
 
 @query(
     rf"""select id, {plain_list(f"list_distinct(regexp_extract_all(text, '{IDENTIFIERS}'))")} as identifiers,
-    {plain_list(f"list_distinct(list_concat(regexp_extract_all(v, '(?i)(?:dry|sensitive|oily|combination)\s+skin'), regexp_extract_all(v, '(?:건조|건성|민감|지성|복합성)\s*피부')))")} as skins,
+    {plain_list(rf"list_distinct(list_concat(regexp_extract_all(v, '(?i)(?:dry|sensitive|oily|combination)\s+skin'), regexp_extract_all(v, '(?:건조|건성|민감|지성|복합성)\s*피부')))")} as skins,
     regexp_replace(lower(v), '[^\p{{L}}\p{{N}}]+', '', 'g') as compared, {clean(rf"regexp_replace(text, '^\[[^\]]+\]{SPACE}', '')")} as unlabelled,
     case when regexp_matches(trim(text), '(?i)^https?://') then trim(text) else array_to_string(list_filter(list_transform(string_split_regex(trim(text), '\n|,| \| | / '), lambda x: {clean('x')}), lambda x: x <> ''), '|') end as items,
     case when regexp_matches(text, '[\x{{3040}}-\x{{30FF}}]') then 'JP' when regexp_matches(text, '[\x{{AC00}}-\x{{D7AF}}]') then 'KR' else 'US' end as market from {V}"""
