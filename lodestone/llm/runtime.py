@@ -42,10 +42,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _remove(path: str) -> None:
+    from pyarrow import fs
+
+    try:
+        store, root = fs.FileSystem.from_uri(path)
+        store.delete_dir(root)
+    except (OSError, ValueError, NotImplementedError):  # gone already, or a store that only Spark can open
+        pass
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends here, and lost executors lose nothing."""
+    """Write a table to the shared folder and read it again: lineage ends here, and lost executors lose nothing.
+
+    The caller's result may still be read from it, so it stays until the driver's process ends.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    atexit.register(_remove, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
