@@ -25,8 +25,8 @@ THRESHOLD = 0.95
 #: Vectors that the basis and the tree are fitted on, at most.
 SAMPLE = 20_000
 #: Classes in a tile, on average, leaves of the tree at most (beyond that its leaves are cut by hash), and dimensions that the tree and
-#: the boxes use. Larger tiles are sent less often, and two of them, 8 MB of 64 dimensions, fit a task many times over.
-TILE, MOST_LEAVES, BOX_DIMS = 8192, 4096, 8
+#: the boxes use. Larger tiles are sent less often, smaller ones give more tasks; two of them are 4 MB of 64 dimensions.
+TILE, MOST_LEAVES, BOX_DIMS = 4096, 4096, 8
 #: Rounding room: pairs this close to the threshold are decided by the dot product of the vectors themselves, scaled to unit length.
 ROOM = 1e-9
 
