@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone.functions import signals as S
-from lodestone.functions.text import BEGIN, END, clean_text, fingerprint, let, matched, matches, terms
+from lodestone.functions.text import BEGIN, END, alternatives, clean_text, fingerprint, is_plain, let, matched, matches, terms
 
 
 def _set(*pairs: tuple[Column, str]) -> Column:
@@ -59,9 +61,23 @@ MODALITY = (
 )
 
 
+def _occurs(low: Column, pattern: str) -> Column:
+    """Whether a pattern of MODALITY is found in a lower-case text; borders are only looked at where the word's first letters are there."""
+    found = F.lit(False)
+    for part in alternatives(pattern):
+        if is_plain(part):
+            found = found | F.contains(low, F.lit(part))
+            continue
+        bare = part.replace(BEGIN, "")
+        stem = re.match(r"[a-z]*", bare)[0]
+        stem = stem[:-1] if bare[len(stem) : len(stem) + 1] == "?" else stem  # its last letter may be missing
+        found = found | (F.contains(low, F.lit(stem)) & low.rlike(part))
+    return found
+
+
 def modality(text: Column) -> Column:
     """The labels that occur, in the fixed order."""
-    return _set(*((matches(text, p), n) for n, p in MODALITY))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: _set(*((_occurs(low, p), n) for n, p in MODALITY)))
 
 
 def same_modality(a: Column, b: Column) -> Column:

@@ -28,8 +28,8 @@ def matched(text: Column, pattern: str, fold: bool = True) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?iu)({pattern})" if fold else f"({pattern})"), F.lit(0))
 
 
-def names_any(lowered: Column, pattern: str) -> Column:
-    """Whether a text in lower case holds one of a pattern's alternatives; plain words are looked for one by one, which is faster than their pattern."""
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside of brackets."""
     depth, parts = 0, [""]
     for c in pattern:
         depth += (c in "([") - (c in ")]")
@@ -37,8 +37,17 @@ def names_any(lowered: Column, pattern: str) -> Column:
             parts.append("")
         else:
             parts[-1] += c
-    plain = [p.lower() for p in parts if not any(c in "\\^$.|?*+()[]{}" for c in p)]
-    rest = [p for p in parts if any(c in "\\^$.|?*+()[]{}" for c in p)]
+    return parts
+
+
+def is_plain(pattern: str) -> bool:
+    return not any(c in "\\^$.|?*+()[]{}" for c in pattern)
+
+
+def names_any(lowered: Column, pattern: str) -> Column:
+    """Whether a text in lower case holds one of a pattern's alternatives; plain words are looked for one by one, which is faster than their pattern."""
+    parts = alternatives(pattern)
+    plain, rest = [p.lower() for p in parts if is_plain(p)], [p for p in parts if not is_plain(p)]
     found = F.lit(False)
     for word in plain:
         if not any(w != word and w in word for w in plain):  # a longer one is found by its part
