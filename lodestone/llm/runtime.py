@@ -90,11 +90,28 @@ def ship(spark: SparkSession) -> None:
 _held: dict[str, Callable[[], None]] = {}
 
 
-def hold(name: str, release: Callable[[], None]) -> None:
-    """A worker's memory is one operator's at a time: what others have kept is released when another one begins."""
-    for other in [k for k in _held if k != name]:
+def hold(name: str, release: Callable[[], None] = lambda: None) -> None:
+    """A worker's memory is one operator's at a time: what others have kept is released, and given back to the system, when another one begins."""
+    others = [k for k in _held if k != name]
+    for other in others:
         _held.pop(other)()
     _held[name] = release
+    if others:
+        _give_back()
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

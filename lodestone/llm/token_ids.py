@@ -25,8 +25,8 @@ WORDS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Segments for it: spaces and line feeds are no part of one, and a run of letters ends before a mark. Only letters that any version
 #: of Unicode knows, and that normalising leaves a letter (not U+0130, whose lower case ends in a mark), are told from marks here.
 BARE_SEGMENT = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏΑ-ΡΣ-Ωα-ωА-я]+(?=[.,;:!? \n])|[.,;:!?]+(?=[ \n])|(?:[^\S \n]\s*\S*|\S+)(?:[^\S \n]\s*\S*)*")
-#: Segments kept by a Python worker, about 180 MB. When there are more, the older half goes.
-MOST_KEPT = 900_000
+#: Segments kept by a Python worker, about 100 MB. When there are more, the older half goes.
+MOST_KEPT = 500_000
 
 _encoders: dict[tuple, SegmentEncoder] = {}
 
