@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.runtime import by_bytes, ship
 
 CAPACITY = 4096
+#: Segments that a worker's encoder keeps: a group's tokens need room too.
+MOST_KEPT = 500_000
 #: Partitions at most; each group is a partition of its own up to that number, then several follow each other in one.
 MOST_PARTITIONS = 50_000
 #: Bytes of text for a group, on average; a hash deals documents out, so groups vary a little. A longer text is in one group as a whole.
@@ -117,7 +119,7 @@ def _packer(tokenizer: str, end_id: int, capacity: int, special_as_text: bool):
 
         from lodestone.llm.token_ids import encoder
 
-        code = encoder(tokenizer, special_as_text)
+        code = encoder(tokenizer, special_as_text, MOST_KEPT)
         end = np.array([end_id], code.dtype).tobytes()
         ids: list[int | None] = []
         tokens: list[bytes] = []

@@ -25,8 +25,8 @@ WORDS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Segments for it: spaces and line feeds are no part of one, and a run of letters ends before a mark. Only letters that any version
 #: of Unicode knows, and that normalising leaves a letter (not U+0130, whose lower case ends in a mark), are told from marks here.
 BARE_SEGMENT = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏΑ-ΡΣ-Ωα-ωА-я]+(?=[.,;:!? \n])|[.,;:!?]+(?=[ \n])|(?:[^\S \n]\s*\S*|\S+)(?:[^\S \n]\s*\S*)*")
-#: Segments kept by a Python worker, about 100 MB. When there are more, the older half goes.
-MOST_KEPT = 500_000
+#: Segments kept by a Python worker, about 180 MB unless an operator asks for fewer. When there are more, the older half goes.
+MOST_KEPT = 900_000
 
 _encoders: dict[tuple, SegmentEncoder] = {}
 
@@ -79,9 +79,11 @@ class SegmentEncoder:
     ordinary text, as texts from outside should be read before training.
     """
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, most_kept: int | None = None):
         from tokenizers import Tokenizer
 
+        self.most_kept = most_kept or MOST_KEPT
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
@@ -117,7 +119,7 @@ class SegmentEncoder:
         if self.lower:
             texts = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
         find, kept, table = self.segment.findall, self.kept, self.table
-        if len(table) > MOST_KEPT:
+        if len(table) > self.most_kept:
             kept.forget(len(table) // 2)
             del table[: len(table) // 2]
         places = [list(map(kept.__getitem__, find(t))) for t in texts]
@@ -125,11 +127,11 @@ class SegmentEncoder:
         return [b"".join(map(table.__getitem__, p)) for p in places]
 
 
-def encoder(path: str, special_as_text: bool = False) -> SegmentEncoder:
+def encoder(path: str, special_as_text: bool = False, most_kept: int | None = None) -> SegmentEncoder:
     """The worker's encoder for that file; what it has seen stays for later tasks."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task's own core
     hold("token_ids", _encoders.clear)
-    key = (path, special_as_text)
+    key = (path, special_as_text, most_kept)
     if key not in _encoders:
-        _encoders[key] = SegmentEncoder(path, special_as_text)
+        _encoders[key] = SegmentEncoder(path, special_as_text, most_kept)
     return _encoders[key]
