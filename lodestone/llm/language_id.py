@@ -252,7 +252,9 @@ def learning_sample(docs: DataFrame, learn, doc_id: str, text: str, lang: str) -
     while wanted:
         rates = F.broadcast(docs.sparkSession.createDataFrame([(k, *v) for k, v in wanted.items()], "lang string, of_short double, of_long double, window long"))  # a row per language
         taken = rows.withColumn("lang", F.col("lang").cast("string")).join(rates, "lang").withColumn("place", place).where(F.col("place") < 1_000_000 * F.when(long, F.col("of_long")).otherwise(F.col("of_short")))
-        for r in taken.select("lang", long.alias("long"), "place", F.when(long, windows).otherwise(F.col("text")).alias("text")).collect():
+        # a row that repeats is drawn once, however often it comes
+        once = taken.withColumn("row", F.xxhash64("doc_id", "text")).select("lang", "row", long.alias("long"), "place", F.when(long, windows).otherwise(F.col("text")).alias("text")).dropDuplicates(["lang", "row"])
+        for r in once.collect():
             found[r["lang"]].append((r["long"], r["place"], r["text"]))
         # chance may have drawn none of a language's texts
         wanted = {k: (min(1.0, 4 * a), min(1.0, 4 * b), w) for k, (a, b, w) in wanted.items() if k not in found and (0 < a < 1 or 0 < b < 1)}
