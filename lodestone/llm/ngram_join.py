@@ -136,7 +136,7 @@ class MinHasher:
         if not len(shingles):
             return np.zeros(0, np.int64)
         values = np.full(len(self.seeds), np.iinfo(np.uint64).max, np.uint64)
-        for low in range(0, len(shingles), 512):  # 128 shingles by 72 seeds stay in the processor's cache
+        for low in range(0, len(shingles), 128):  # all shingles; 128 of them by 72 seeds stay in the processor's cache
             np.minimum(values, mix(shingles[low : low + 128] ^ self.seeds).min(axis=1), out=values)
         rows = mix(values.reshape(self.banding.bands, self.banding.rows))
         out = np.arange(1, self.banding.bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)

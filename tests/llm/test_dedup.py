@@ -158,6 +158,21 @@ def test_banding_of_small_sets():
     assert missed <= 20_000 * (1 - b.recall(0.8)) + 6
 
 
+def test_banding_of_long_sets(spark):
+    """A set of 2,000 shingles and the least 1,700 or any 1,700 of them share a band; so do the texts, at all lengths, in the join."""
+    b = ngram_join.choose_banding()
+    rng, hasher = np.random.default_rng(8), ngram_join.MinHasher(b)
+    for _ in range(40):
+        s = np.unique(rng.integers(0, 1 << 63, 2_000, np.uint64))
+        for part in (s[:1_700], s[np.sort(rng.permutation(len(s))[:1_700])]):
+            assert (hasher.bands(part) == hasher.bands(s)).any()
+    words = [f"w{i}" for i in rng.integers(0, 100_000, 3_000)]
+    rows = [(10 * n + k, f"t{n} " + " ".join(words[:m])) for n in (130, 600, 2_500) for k, m in enumerate((n, int(n * 0.85)))]
+    links = brute_jaccard(rows)
+    assert sum(map(len, links.values())) == 6
+    assert {r.doc_id: r.n_links for r in ngram_join.jaccard_join(docs(spark, rows)).collect()} == {i: len(x) for i, x in links.items()}
+
+
 @pytest.mark.parametrize("tile", [16, 2048])
 def test_embeddings(spark, tile):
     rng = np.random.default_rng(3)
