@@ -272,7 +272,7 @@ def _verdicts(docs: DataFrame, doc_id: str, text: str, words: int, threshold: fl
     hubs = save(buckets.groupBy("at", "band").agg(F.min("class").alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")).where("n > 1"), "hubs")
     most = classes.count() * banding.bands
     stars = join_least(buckets.select("class", F.struct("at", "band").alias("key")), hubs.select(F.struct("at", "band").alias("key"), "hub", "n"), "key", most)
-    cluster_of = components(stars.where("class != hub").select("class", "hub").distinct())
+    cluster_of = components(stars.where("class != hub").select("class", "hub"))
     names = cluster_of.select("node", F.col("component").alias("cluster")).unionByName(cluster_of.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct())
     sizes = names.groupBy("cluster").agg(F.count("*").alias("n"))
     members = save(join_least(names, sizes.withColumn("large", F.col("n") > block), "cluster", most).join(classes.withColumnRenamed("class", "node"), "node"), "members")

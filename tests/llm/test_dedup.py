@@ -173,6 +173,26 @@ def test_banding_of_long_sets(spark):
     assert {r.doc_id: r.n_links for r in ngram_join.jaccard_join(docs(spark, rows)).collect()} == {i: len(x) for i, x in links.items()}
 
 
+@pytest.mark.parametrize("most", [0, 250_000])
+def test_components_by_rounds_and_by_driver(spark, monkeypatch, most):
+    """The same components either way, and few links take few jobs."""
+    import importlib
+
+    monkeypatch.setattr(importlib.import_module("lodestone.llm.components"), "DRIVER_LINKS", most, raising=False)
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(-7, 3000 + i) for i in range(300)]
+    spark.sparkContext.setJobGroup(f"components {most}", "")
+    made = {r.node: r.component for r in components(spark.createDataFrame(pairs, "u long, v long").repartition(6)).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {most}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    links = {}
+    for a, b in pairs:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set()).add(a)
+    assert made == {n: r for n, r in groups_of(links, links).items() if n != r}
+    assert jobs <= 8 or not most
+
+
 @pytest.mark.parametrize("tile", [16, 2048])
 def test_embeddings(spark, tile):
     rng = np.random.default_rng(3)
