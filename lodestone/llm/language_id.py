@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.runtime import by_bytes, crc_of_id, hold, ship
+from lodestone.llm.runtime import by_bytes, crc_of_id, give_back, hold, ship
 
 ORDER = 4
 #: Bytes of text learned per language; every language is learned. Beyond 64 languages each gets an equal share of what 64 get, but
@@ -306,6 +306,7 @@ def identify_language(docs: DataFrame, learn=None, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     ship(spark)
     model = train_ppm(learning_sample(docs, F.lit(True) if learn is None else learn, doc_id, text, lang))
+    give_back()
     sent, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # 16 bytes for each gram of the bounded sample: 1 to 4 MB a language
     schema = T.StructType([*(docs.schema[c] for c in carry), *T._parse_datatype_string(PREDICTED).fields])
     at = carry.index(text) if text in carry else len(carry)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.components import components, join_least
-from lodestone.llm.runtime import by_bytes, hold, numbered, save, ship
+from lodestone.llm.runtime import by_bytes, give_back, hold, numbered, save, ship
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: MinHash values at most.
@@ -263,6 +263,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
 def _verdicts(docs: DataFrame, doc_id: str, text: str, words: int, threshold: float, recall: float, block: int) -> DataFrame:
     """What ``jaccard_join`` returns, with the ``digest`` of a row's set and a number of its ``group`` (null where it cannot link)."""
     banding = choose_banding(threshold, recall)
+    give_back()
     signed = save(signatures(docs, doc_id, text, words, banding), "signatures")
     named = signed.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("bands").alias("bands"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.runtime import by_bytes, crc_of_id, hold, save, ship
+from lodestone.llm.runtime import by_bytes, crc_of_id, give_back, hold, save, ship
 
 #: Labelled texts of each kind that are learned from, at most, the characters of each kind and of a text: the sample's bounds.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS, LONGEST_LEARNED = 1500, 4500, 8_000_000, 40_000
@@ -313,6 +313,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn=None, doc_id: str =
     spark = docs.sparkSession
     ship(spark)
     model = train_toxicity(*learning_sample(docs, labels, F.lit(True) if learn is None else learn, doc_id, text, label, label_id or doc_id))
+    give_back()
     sent, tag = spark.sparkContext.broadcast(model), uuid.uuid4().hex  # under 40 KB, and the runs of the bounded sample that stand out
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
     at = carry.index(text) if text in carry else len(carry)
