@@ -173,6 +173,15 @@ def test_banding_of_long_sets(spark):
     assert {r.doc_id: r.n_links for r in ngram_join.jaccard_join(docs(spark, rows)).collect()} == {i: len(x) for i, x in links.items()}
 
 
+def test_pipeline_drops_long_near_copies(spark):
+    """The pipeline's stage keeps one of a long text and 85 % of it, at lengths of more than 128 shingles."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in np.random.default_rng(11).integers(0, 100_000, 3_000)]
+    rows = [(10 * n + k, f"t{n} " + " ".join(words[:m])) for n in (1_200, 2_800) for k, m in enumerate((n, int(n * 0.85)))]
+    assert sorted(r.doc_id for r in corpus_pipeline.remove_near_copies(spark, docs(spark, rows), "").collect()) == [12_000, 28_000]
+
+
 @pytest.mark.parametrize("most", [0, 250_000])
 def test_components_by_rounds_and_by_driver(spark, monkeypatch, most):
     """The same components either way, and few links take few jobs."""
