@@ -86,7 +86,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_backend.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE), with_ids=False).drop("ids")
+    return sentencepiece_backend.digest_ids(sentencepiece_backend.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_BPE)))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,3 +245,23 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[x.split()[0] for x in ENCODED.split(", ")])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ENCODED)
+
+
+DIGESTED = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean"
+
+
+def digest_ids(made: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, ids_crc32, round_trip, parity`` of what ``encode_pieces`` returns with ids, digested from those ids."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(1)
+            ends = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            values = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4")
+            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            columns = [batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DIGESTED.split(", ")])
+
+    return made.select("doc_id", "ids", "round_trip", "parity").mapInArrow(run, DIGESTED)

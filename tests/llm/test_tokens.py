@@ -123,6 +123,21 @@ def test_sentencepiece(spark):
     assert sentencepiece_backend.encode_pieces(frame(spark, []), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_sentencepiece_query_digests_the_ids(spark, sf, monkeypatch):
+    """The query's columns come from ids that the operator returns."""
+    from lodestone.llm import queries
+
+    made = []
+    whole = sentencepiece_backend.encode_pieces
+    monkeypatch.setattr(sentencepiece_backend, "encode_pieces", lambda *a, **b: made.append(whole(*a, **b)) or made[-1])
+    got = {r.doc_id: r for r in queries.op8_sentencepiece(spark, sf).collect()}
+    rows = made[0].collect()
+    assert len(rows) == len(got) and all(r.ids is not None for r in rows)
+    for r in rows:
+        ids = np.array(r.ids, "<u4")
+        assert got[r.doc_id] == (r.doc_id, len(ids), zlib.crc32(ids.tobytes()), r.round_trip, r.parity) and (r.n_tokens, r.ids_crc32) == got[r.doc_id][1:3]
+
+
 @pytest.fixture(scope="module")
 def pair():
     import sentencepiece
