@@ -12,13 +12,12 @@ different languages are apart, so tables grow with the number of languages.
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,10 +25,11 @@ from lodestone.llm.runtime import by_bytes, crc_of_id, give_back, hold, ship
 
 ORDER = 4
 #: Bytes of text learned per language; every language is learned. Beyond 64 languages each gets an equal share of what 64 get, but
-#: no less than ``LEAST_BYTES``. Long texts are learned in windows spread over them, where a language has too few short ones.
-SAMPLE_BYTES, TOTAL_BYTES, LEAST_BYTES, WINDOWS = 1_500_000, 96_000_000, 50_000, 16
-#: Bytes that are looked up at once.
-BLOCK = 1 << 18
+#: no less than ``LEAST_BYTES``. Where short texts do not suffice, ``LONG_TEXTS`` long ones, of over a quarter of the bound each, are
+#: learned too, all of each.
+SAMPLE_BYTES, TOTAL_BYTES, LEAST_BYTES, LONG_TEXTS = 1_500_000, 96_000_000, 50_000, 4
+#: Bytes that are looked up at once, and that are counted at once.
+BLOCK, COUNTED = 1 << 18, 1 << 22
 #: Posterior odds are softened by this factor: neighbouring bytes are not independent evidence.
 TEMPERATURE = 0.2
 #: Bits a byte above that quantile of a language's texts, as trees see them that have not learned them, at which a text counts as no
@@ -180,10 +180,19 @@ def text_bits(tables: list[Table], texts: list[str]) -> tuple[np.ndarray, np.nda
 def count_tree(texts: list[str]) -> Tree:
     """Count the contexts of a language's texts and freeze them."""
     rows = Bytes(texts)
-    grams = rows.grams(0, len(rows.data))[rows.coded()]
+    coded = rows.coded()
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
+    for low in range(0, len(rows.data), COUNTED):
+        high = min(low + COUNTED, len(rows.data))
+        grams = rows.grams(low, high)[coded[low:high]]
+        for n, parts in enumerate(found, 1):
+            parts.append(np.unique(gram_key(grams, n), return_counts=True))
+            if len(parts) > 1:  # what is held grows with the distinct grams, not with the texts
+                own, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                parts[:] = [(own, np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64))]
     keys, bits, contexts, escapes = [], [], [], []
-    for n in range(1, ORDER + 2):
-        own, counts = np.unique(gram_key(grams, n), return_counts=True)
+    for n, parts in enumerate(found, 1):
+        own, counts = parts[0]
         if not len(own):
             break
         above = gram_key(own >> SHIFT, n - 1)
@@ -227,7 +236,7 @@ def train_ppm(samples: dict[str, list[str]]) -> PPMModel:
 
 
 def learning_sample(docs: DataFrame, learn, doc_id: str, text: str, lang: str) -> dict[str, list[str]]:
-    """Texts of each language up to its share of bytes, those of least hash: whole ones, then windows of long ones.
+    """Whole texts of each language, those of least hash: short ones up to its share of bytes, and long ones where those do not suffice.
 
     Counts first, so that the second pass sends the driver little more than the sample.
     """
@@ -235,39 +244,37 @@ def learning_sample(docs: DataFrame, learn, doc_id: str, text: str, lang: str) -
     n = F.octet_length("text")
     languages = rows.select("lang").distinct().count()
     bound = min(SAMPLE_BYTES, max(LEAST_BYTES, TOTAL_BYTES // max(1, languages)))
-    # no whole text of more than a quarter of the bound is learned: one alone must not be a language's sample
+    # one text of more than a quarter of the bound must not stand for many short ones, nor alone for a language that has several
     long = n > bound // 4
     sizes = rows.groupBy("lang").agg(F.sum(F.when(~long, n)).alias("short"), F.max(F.when(~long, n)).alias("longest"), F.count_if(long).alias("n_long")).collect()
-    wanted = {}
-    for r in sizes:
-        short, n_long = r["short"] or 0, r["n_long"]
-        need = max(0, bound - short)
-        share = min(bound, max(bound // 4, math.ceil(need / max(1, n_long))))
-        wanted[r["lang"]] = (min(1.0, (1.2 * bound + 4 * (r["longest"] or 0)) / max(1, short)), min(1.0, 1.5 * need / max(1, n_long * share)), share // WINDOWS)
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    size = F.length("text")
-    width = F.least(size, F.ceil(F.col("window") * size / n)).cast("int")
-    windows = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substr("text", (1 + F.floor(i * (size - width) / (WINDOWS - 1))).cast("int"), width)), " ")
+    wanted = {r["lang"]: min(1.0, (1.2 * bound + 4 * r["longest"]) / r["short"]) for r in sizes if r["short"]}
+    lacking = [(r["lang"],) for r in sizes if r["n_long"] and (r["short"] or 0) < bound]
+    # a row that repeats is drawn once, however often it comes
+    marked = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("row"), long.alias("long"), "text").withColumn("place", F.pmod("row", F.lit(1_000_000)))
     found: dict[str, list] = defaultdict(list)
     while wanted:
-        rates = F.broadcast(docs.sparkSession.createDataFrame([(k, *v) for k, v in wanted.items()], "lang string, of_short double, of_long double, window long"))  # a row per language
-        taken = rows.withColumn("lang", F.col("lang").cast("string")).join(rates, "lang").withColumn("place", place).where(F.col("place") < 1_000_000 * F.when(long, F.col("of_long")).otherwise(F.col("of_short")))
-        # a row that repeats is drawn once, however often it comes
-        once = taken.withColumn("row", F.xxhash64("doc_id", "text")).select("lang", "row", long.alias("long"), "place", F.when(long, windows).otherwise(F.col("text")).alias("text")).dropDuplicates(["lang", "row"])
-        for r in once.collect():
-            found[r["lang"]].append((r["long"], r["place"], r["text"]))
+        rates = F.broadcast(docs.sparkSession.createDataFrame([*wanted.items()], "lang string, share double"))  # a row per language
+        taken = marked.where("not long").join(rates, "lang").where(F.col("place") < 1_000_000 * F.col("share"))
+        for r in taken.select("lang", "row", "place", "text").dropDuplicates(["lang", "row"]).collect():
+            found[r["lang"]].append((r["place"], r["text"]))
         # chance may have drawn none of a language's texts
-        wanted = {k: (min(1.0, 4 * a), min(1.0, 4 * b), w) for k, (a, b, w) in wanted.items() if k not in found and (0 < a < 1 or 0 < b < 1)}
-    out = {}
+        wanted = {k: min(1.0, 4 * a) for k, a in wanted.items() if k not in found and a < 1}
+    out: dict[str, list[str]] = defaultdict(list)
     for language, texts in found.items():
-        got, kept = 0, []
-        for _, _, t in sorted(texts):
+        got = 0
+        for _, t in sorted(texts):
             if got >= bound:
                 break
-            kept.append(t)
+            out[language].append(t)
             got += len(t.encode("utf-8", "surrogatepass"))
-        out[language] = kept
-    return out
+    if lacking:
+        of_long = marked.where("long").join(F.broadcast(docs.sparkSession.createDataFrame(lacking, "lang string")), "lang")
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "row"))
+        first = of_long.select("lang", "place", "row").distinct().withColumn("rank", rank).where(F.col("rank") <= LONG_TEXTS).select("lang", "row", "rank")
+        drawn = of_long.join(F.broadcast(first), ["lang", "row"]).select("lang", "row", "rank", "text").dropDuplicates(["lang", "row"])
+        for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["rank"])):
+            out[r["lang"]].append(r["text"])
+    return dict(out)
 
 
 class Scorer:

@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 
 from lodestone.llm.runtime import by_bytes, crc_of_id, give_back, hold, save, ship
 
-#: Labelled texts of each kind that are learned from, at most, the characters of each kind and of a text: the sample's bounds.
-SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS, LONGEST_LEARNED = 1500, 4500, 8_000_000, 40_000
+#: Labelled texts of each kind that are learned from, at most, and the characters of each kind, beyond which no further text begins: the
+#: sample's bounds. Texts are learned whole, however long.
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 4500, 8_000_000
 #: Dictionary sizes in bytes; zstandard level and shortest match (an optimal parse keeps lengths comparable).
 ORDINARY_BYTES, TOXIC_BYTES, LEVEL, SHORTEST = 32_768, 4_096, 19, 3
 #: Log-likelihood ratio above which a word's contexts are more frequent in toxic texts than chance allows (p below 1e-6).
@@ -286,7 +287,7 @@ def learning_sample(docs: DataFrame, labels: DataFrame, learn, doc_id: str, text
     if not ids:
         return [], []
     drawn = F.broadcast(docs.sparkSession.createDataFrame(ids, own.schema))  # 6,000 rows at most
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(drawn, "doc_id").where(F.length("text") <= LONGEST_LEARNED)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(drawn, "doc_id")
     sample = save(rows.groupBy("label", "doc_id").agg(F.min("text").alias("text")), "sample")
     place = F.xxhash64("doc_id").alias("place")
     size, chosen = Counter(), []

@@ -101,6 +101,24 @@ def test_short_texts_beside_long_ones(spark):
     assert sum(t.startswith("short") for t in learned) == 300 and sum(map(len, learned)) > 1_000_000
 
 
+def test_long_texts_are_learned_whole(spark):
+    """Not in windows: what stands between them is learned too, of each of a language's few long texts."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n))
+    rows = [(k, " ".join(f"{words(1500)} zyx{i}wvu" for i in range(60)), "xx") for k in range(2)] + [(9, "a short text", "xx")]
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string")
+    learned = language_id.learning_sample(df, F.lit(True), "doc_id", "text", "lang")["xx"]
+    assert sorted(learned) == sorted(t for _, t, _ in rows)
+
+
+def test_counting_by_blocks(monkeypatch):
+    texts = ["der Hund und die Katze", "", "über 12.5 % \u0130"]
+    whole = language_id.count_tree(texts)
+    monkeypatch.setattr(language_id, "COUNTED", 7)
+    parts = language_id.count_tree(texts)
+    assert (whole.keys == parts.keys).all() and (whole.bits == parts.bits).all() and (whole.escapes == parts.escapes).all()
+
+
 def test_held_out_language(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
@@ -159,6 +177,24 @@ def test_toxicity_rows(spark):
     assert toxicity.score_toxicity(df, labels.limit(0)).count() == len(rows) and toxicity.score_toxicity(df.limit(0), labels).count() == 0
 
 
+def test_pipeline_learns_toxicity_of_long_texts(spark, tmp_path):
+    """All labelled texts are long, with their toxic words at any place of them; long and short texts are dropped for those."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(["ta", "ri", "mo", "len", "su", "ka"], 3)) for _ in range(150)]
+    rows = []
+    for i in range(90):
+        t = rng.choice(words, 7000 if i < 60 else 300).tolist()
+        for at in rng.integers(0, len(t), 6) if i % 3 == 0 else []:
+            t.insert(int(at), ["zobwuxer", "quizbarg"][int(rng.integers(0, 2))])
+        rows.append((i, " ".join(t)))
+    assert min(len(t) for i, t in rows if i < 60) > 40_000
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {r.doc_id for r in corpus_pipeline.remove_toxic(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert sum(i in left for i in range(0, 90, 3)) <= 2 and sum(i in left for i in range(90) if i % 3) >= 58
+
+
 def test_held_out_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
