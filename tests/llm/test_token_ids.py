@@ -63,3 +63,23 @@ def test_other_tokenizers_get_whole_texts():
     assert segments_of({"pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": True}}) is None
     split = {"type": "Split", "pattern": {"Regex": r"\S+"}, "behavior": "Removed", "invert": True}
     assert segments_of({"pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, {"type": "ByteLevel", "use_regex": False, "add_prefix_space": False}]}}) is None
+
+
+def test_words_need_no_pattern(both):
+    """Texts with single spaces and line feeds are cut without the pattern, which takes several times as long; others by it."""
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern, self.texts = pattern, []
+
+        def findall(self, text):
+            self.texts.append(text)
+            return self.pattern.findall(text)
+
+    code, whole = SegmentEncoder(public_tokenizers.path(NAMES[0])), both[NAMES[0]][1]
+    plain = ["The cat, the dog.\nThe cat\nsat", "cat", "dog the\tcat", "cat?! the\ncat, don't. É, 1. a.b. .,"]
+    odd = ["The cat \n sat", "a\t b", "a\x1c\nb", "cat ", "\ncat", "a\n\nb", "", " "]
+    code.segment = Counted(code.segment)
+    for _ in range(2):
+        assert own(code, plain + odd) == [whole.encode(t, add_special_tokens=False).ids for t in plain + odd]
+    assert set(code.segment.texts) == set(odd)
