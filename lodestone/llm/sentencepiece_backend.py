@@ -124,7 +124,7 @@ def bpe_merges(m: PieceModel) -> list[tuple[str, str]]:
 
 
 def build_tokenizer(m: PieceModel, prefix: bool = True):
-    """The library's tokenizer; without ``prefix``, for segments that already start with their space."""
+    """The library's tokenizer; without ``prefix``, for segments that already start with their marker and have no spaces."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if m.kind == UNIGRAM:
@@ -143,15 +143,18 @@ def build_tokenizer(m: PieceModel, prefix: bool = True):
         steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ | $"), "")]
     if m.dummy_prefix and prefix:
         steps.append(normalizers.Prepend(MARK))
-    steps.append(normalizers.Replace(" ", MARK))
+    if prefix:
+        steps.append(normalizers.Replace(" ", MARK))
     t = Tokenizer(model)
     t.normalizer = normalizers.Sequence(steps)
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
     return t
 
 
-#: A segment: spaces, then characters up to the next space.
-SEGMENT = re.compile(" *[^ ]+| +")
+#: A segment: spaces, then characters up to the next space. It is known by what stands behind its first space.
+SEGMENT = re.compile(" ( *[^ ]+| *)")
+#: Segments in a row that the library encodes as one text.
+IN_A_ROW = 20
 
 
 class PieceEncoder:
@@ -170,12 +173,45 @@ class PieceEncoder:
         self.part = build_tokenizer(self.model, prefix=False) if self.by_segment else None
         #: What each piece stands for; unknown and control pieces stand for nothing that could be compared.
         self.spelled = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k in (NORMAL, USER_DEFINED) else None for p, _, k in self.model.pieces]
-        #: Of each segment seen: its ids, and whether they spell it.
-        self.places, self.table, self.spells = Places(), [], []
+        #: Whether a piece begins with the marker, as the first one of each segment does where the marker is known.
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces], bool)
+        #: Of each segment seen its ids, and the places of those that their ids do not spell.
+        self.places, self.table, self.odd = Places(), [], set()
 
     def _segments(self, text: str) -> list[int]:
         # the dummy prefix is a space before a text that is not empty; a marker in a text is as good as a space
-        return list(map(self.places.__getitem__, SEGMENT.findall(" " + text.replace(MARK, " ")))) if text else []
+        text = text.replace(MARK, " ")
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return list(map(self.places.__getitem__, SEGMENT.findall(" " + text)))
+        return list(map(self.places.__getitem__, text.split(" "))) if text else []
+
+    def _ids(self, segments: list[str]) -> list[bytes]:
+        """Of each segment its ids. Some in a row are one text for the library: no merge crosses their borders, and one with spaces
+        inside, or a row that comes apart otherwise than at its markers, is encoded on its own."""
+        rows, row = [], []
+        for s in segments:
+            if " " in s or not s:
+                rows.append([s])
+                continue
+            row.append(s)
+            if len(row) == IN_A_ROW:
+                rows.append(row)
+                row = []
+        rows += [row] if row else []
+        spelled = lambda some: "".join(MARK + s.replace(" ", MARK) for s in some)
+        found: dict[str, bytes] = {}
+        for row, e in zip(rows, self.part.encode_batch_fast(list(map(spelled, rows)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(self.begins[ids]).tolist()
+            if len(row) == 1:
+                found[row[0]] = ids.tobytes()
+            elif len(cuts) == len(row) and cuts[0] == 0:
+                raw = ids.tobytes()
+                found.update(zip(row, (raw[4 * a : 4 * b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True)), strict=True))
+            else:
+                for s, one in zip(row, self.part.encode_batch_fast([spelled([s]) for s in row], add_special_tokens=False), strict=True):
+                    found[s] = array("I", one.ids).tobytes()
+        return [found[s] for s in segments]
 
     def encode_bytes(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         """Of each text its ids as unsigned 32-bit integers, and whether decoding them gives it back.
@@ -189,15 +225,17 @@ class PieceEncoder:
             return [array("I", x).tobytes() for x in found], [a == b for a, b in zip(back, texts, strict=True)]
         if (kept := len(self.table)) > MOST_KEPT:
             self.places.forget(kept // 2)
-            del self.table[: kept // 2], self.spells[: kept // 2]
+            del self.table[: kept // 2]
+            self.odd = {k - kept // 2 for k in self.odd if k >= kept // 2}
         cut = [self._segments(t) for t in texts]
         new = self.places.names[len(self.table) :]
-        for segment, e in zip(new, self.part.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.table.append(array("I", e.ids).tobytes())
-            spelled = [self.spelled[i] for i in e.ids]
-            self.spells.append(None not in spelled and b"".join(spelled) == segment.encode("utf-8", "surrogatepass"))
+        for segment, ids in zip(new, self._ids(new), strict=True):
+            spelled = [self.spelled[i] for i in array("I", ids)]
+            if None in spelled or b"".join(spelled) != b" " + segment.encode("utf-8", "surrogatepass"):
+                self.odd.add(len(self.table))
+            self.table.append(ids)
         ids = [b"".join(map(self.table.__getitem__, c)) for c in cut]
-        same = [MARK not in t and all(map(self.spells.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
+        same = [MARK not in t and (not self.odd or self.odd.isdisjoint(c)) for t, c in zip(texts, cut, strict=True)]
         for k in [k for k, s in enumerate(same) if not s]:
             same[k] = self.whole.decode(array("I", ids[k]).tolist(), skip_special_tokens=False) == texts[k]
         return ids, same
@@ -239,8 +277,8 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
             rows: list[tuple] = []
             for texts in by_bytes(x or "" for x in batch.column(1).to_pylist()):
                 ids, same = code.encode_bytes(texts)
-                right = own.encode(texts, num_threads=threads)
-                rows += [(np.frombuffer(i, np.int32) if with_ids else None, len(i) // 4, zlib.crc32(i), s, array("I", r).tobytes() == i) for i, s, r in zip(ids, same, right, strict=True)]
+                right = own.encode(texts, num_threads=threads, return_type="numpy")
+                rows += [(np.frombuffer(i, np.int32) if with_ids else None, len(i) // 4, zlib.crc32(i), s, r.tobytes() == i) for i, s, r in zip(ids, same, right, strict=True)]
             kinds = (pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=[x.split()[0] for x in ENCODED.split(", ")])
 

@@ -189,3 +189,22 @@ def test_unigram_model():
         assert code.encode([text])[0].tolist() == own.encode(text), text
     with pytest.raises(ValueError):
         list(sentencepiece_backend.fields(b"\x0a\xff\x01a"))
+
+
+def test_segments_in_a_row():
+    """The library gets new segments in rows, and gives the ids that whole texts have."""
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, []
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += texts
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        code = sentencepiece_backend.PieceEncoder(f.read())
+    code.part = Counted(code.part)
+    texts = [" ".join(f"word{i}, tail{i}" for i in range(50)), "a  b", " a", "a ", " ", "", "▁a ▁", "日本 \n\t x", "a\u0000 b", "   "]
+    got = [x.tolist() for x in code.encode(texts)]
+    assert got == [code.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(code.part.texts) < 30
