@@ -193,6 +193,7 @@ def test_unigram_model():
 
 def test_segments_in_a_row():
     """The library gets new segments in rows, and gives the ids that whole texts have."""
+
     class Counted:
         def __init__(self, tokenizer):
             self.tokenizer, self.texts = tokenizer, []
