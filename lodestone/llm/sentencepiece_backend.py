@@ -131,7 +131,9 @@ def build_tokenizer(m: PieceModel, prefix: bool = True):
         model = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unk_id, byte_fallback=m.byte_fallback)
     elif m.kind == BPE:
         unk = m.pieces[m.unk_id][0]
-        model = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, bpe_merges(m), unk_token=unk, fuse_unk=True, byte_fallback=m.byte_fallback)
+        # segments come to the library once, in rows, so that what it would keep of them is of no use (150 MB in a worker)
+        kept = {} if prefix else {"cache_capacity": 0}
+        model = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, bpe_merges(m), unk_token=unk, fuse_unk=True, byte_fallback=m.byte_fallback, **kept)
     else:
         raise ValueError(f"model type {m.kind} is neither unigram nor BPE")
     if m.whitespace_as_suffix or not m.escape_whitespaces:
@@ -245,6 +247,22 @@ class PieceEncoder:
 
 
 _encoders: dict[int, tuple] = {}
+
+
+def encoders(tag: int, sent) -> tuple:
+    """The worker's encoder and the sentencepiece library's for the model that was sent, one model at a time; what they have seen stays for later tasks.
+
+    A task's function comes pickled with copies of the variables it names, so it gets to what the worker keeps only through a function of this module.
+    """
+    import sentencepiece
+
+    hold("sentencepiece", _encoders.clear)
+    if tag not in _encoders:
+        _encoders.clear()
+        _encoders[tag] = PieceEncoder(sent.value), sentencepiece.SentencePieceProcessor(model_proto=sent.value)
+    return _encoders[tag]
+
+
 ENCODED = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, round_trip boolean, parity boolean"
 
 
@@ -267,12 +285,8 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
         import pyarrow as pa
-        import sentencepiece
 
-        hold("sentencepiece", _encoders.clear)
-        if tag not in _encoders:
-            _encoders[tag] = PieceEncoder(sent.value), sentencepiece.SentencePieceProcessor(model_proto=sent.value)
-        code, own = _encoders[tag]
+        code, own = encoders(tag, sent)
         for batch in batches:
             rows: list[tuple] = []
             for texts in by_bytes(x or "" for x in batch.column(1).to_pylist()):
@@ -294,6 +308,7 @@ def digest_ids(made: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        hold("digest_ids")  # Spark may hand this task a worker that has encoded before
         for batch in batches:
             ids = batch.column(1)
             ends = ids.offsets.to_numpy() - ids.offsets[0].as_py()

@@ -209,3 +209,30 @@ def test_segments_in_a_row():
     got = [x.tolist() for x in code.encode(texts)]
     assert got == [code.whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(code.part.texts) < 30
+
+
+def test_tasks_of_a_worker_share_one_encoder(spark, monkeypatch):
+    """A task gets its function pickled: the encoder of an earlier task serves the next one, and a worker that digests lets it go."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    built, runs = [], []
+    begin = sentencepiece_backend.PieceEncoder.__init__
+    monkeypatch.setattr(sentencepiece_backend.PieceEncoder, "__init__", lambda self, data: built.append(self) or begin(self, data))
+    for name in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS"):
+        monkeypatch.setenv(name, "1")
+    docs = frame(spark, ROWS)
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(cloudpickle.dumps(run)) or docs.selectExpr("doc_id", "array(1) ids", "true round_trip", "true parity"))
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: SimpleNamespace(value=value))
+    sentencepiece_backend.digest_ids(sentencepiece_backend.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")))
+    sentencepiece_backend._encoders.clear()
+
+    task = lambda k, *batches: list(cloudpickle.loads(runs[k])(iter(batches)))
+    texts = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["Hello, world.", None])], names=["doc_id", "text"])
+    first, second = task(0, texts), task(0, texts)
+    assert first == second and first[0].column("parity").to_pylist() == [True, True]
+    assert len(built) == 1 and len(sentencepiece_backend._encoders) == 1
+    task(1)
+    assert not sentencepiece_backend._encoders
